@@ -2,10 +2,12 @@
 
 A text becomes one symbol for each character, and an agenda of adjacent symbol pairs, ordered by the score of the
 merged piece and then from left to right, says which pair is merged next. No piece of such a vocabulary holds a word
-mark behind another character, so no merge crosses the start of a word: a text is cut there, and each distinct word
-goes through the agenda once per worker (the memory of finished words is bounded). A vocabulary with a piece that
-breaks this rule is handled by one agenda over the whole text. Each Arrow batch is then checked against the
-sentencepiece library; a text on which the two differ takes the library's ids and is marked in column agrees.
+mark behind another character, so no merge crosses the start of a word; nor does one cross a line end that stands in no
+piece. A text is cut there, and each distinct part goes through the agenda once per worker while it is remembered (the
+memory is bounded, and keeps what was used last). A vocabulary with a piece that breaks the first rule is handled by one
+agenda over the whole text. The parts of an Arrow batch that went through the agenda are checked against the
+sentencepiece library together; a part on which the two differ takes the library's ids, and the text is marked in
+column agrees. decode() is run on each part's ids likewise: a text decodes to its parts' texts in a row.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; a null doc_id is kept; repeated rows are
 encoded each; other columns of the input are not read.
@@ -27,13 +29,13 @@ from .common import slices
 
 MARK = "▁"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean, agrees boolean"
-REMEMBERED_WORDS = 300_000
+REMEMBERED_PARTS = 500_000
 
 
 class Codec:
     """Encoder and decoder over the vocabulary of a model file."""
 
-    def __init__(self, model: str, remembered: int = REMEMBERED_WORDS) -> None:
+    def __init__(self, model: str, remembered: int = REMEMBERED_PARTS) -> None:
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=model)
         self.score: dict[str, float] = {}
         self.id: dict[str, int] = {}
@@ -54,7 +56,11 @@ class Codec:
                 self.text_of[i] = piece.replace(MARK, " ")
         self.unknown = sp.unk_id()
         self.by_word = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.id)
-        self.known: dict[str, str] = {}
+        self.line_alone = not any("\n" in p for p in self.id)
+        self.known: dict[str, str] = {}  # part -> its ids, joined
+        self.older: dict[str, str] = {}
+        self.strange: dict[str, str] = {}  # of those, the ones that decode to something else than themselves
+        self.fresh: list[str] = []  # parts that the library hasn't checked yet
         self.limit = remembered
 
     def word(self, word: str) -> list[int]:
@@ -93,53 +99,101 @@ class Codec:
                     ids.append(self.unknown)
         return ids
 
-    def _remember(self, word: str) -> str:
-        said = ",".join(map(str, self.word(word)))
-        if len(word) < 64:
-            if len(self.known) >= self.limit:
-                self.known.clear()
-            self.known[word] = said
+    def _part(self, part: str) -> str:
+        """The ids of a part that isn't in known, joined; it is there afterwards."""
+        if len(self.known) >= self.limit and not self.fresh:
+            self.older, self.known = self.known, {}
+            self.strange = {k: v for k, v in self.strange.items() if k in self.older}
+        said = self.older.get(part)
+        if said is None:
+            marked = self.marked(part)
+            ids = self.word(marked)
+            said = ",".join(map(str, ids))
+            self.fresh.append(part)
+            self._note(part, marked, ids)
+        self.known[part] = said
         return said
 
+    def _note(self, part: str, marked: str, ids: list[int]) -> None:
+        if (text := self.pieces(ids)) != marked.replace(MARK, " "):
+            self.strange[part] = text
+        else:
+            self.strange.pop(part, None)
+
+    @staticmethod
+    def marked(part: str) -> str:
+        """A part as the agenda sees it: one that starts with a line end or with marks is as it stands, others get a mark."""
+        return part if part[:1] in ("\n", MARK) else MARK + part
+
+    def parts(self, text: str) -> list[str]:
+        """text cut where no merge can cross; a single leading mark is left out."""
+        cut = text.replace("\n", " \n") if self.line_alone else text
+        found = cut.split(" ")
+        if "" not in found and MARK not in text and (self.line_alone or "\n" not in text) and text[0] != "\n":
+            return found
+        line = "\n" if self.line_alone else ""
+        found = re.findall(f"{MARK}+[^{MARK}{line}]*" + (f"|\n[^{MARK}\n]*" if line else ""), MARK + text.replace(" ", MARK))
+        return [p[1:] if p[0] == MARK and p[1:2] not in ("\n", MARK, "") else p for p in found]
+
+    def check(self) -> set[str]:
+        """Hold the fresh parts against the library; returns those on which the two differed, which then have its ids."""
+        # the library puts a mark before a text: a part without one loses those ids again, a lone mark gets a line end behind it
+        fresh = [p for p in self.fresh if p != MARK or self.line_alone]
+        theirs = self.library.encode([p if p[0] == "\n" else "\n" if p == MARK else self.marked(p)[1:].replace(MARK, " ") for p in fresh], num_threads=1)
+        head, end = len(self.word(MARK)), len(self.word("\n"))
+        odd = set()
+        for part, ids in zip(fresh, theirs):
+            ids = ids[head:] if part[0] == "\n" else ids[:-end] if part == MARK else ids
+            if (said := ",".join(map(str, ids))) != self.known[part]:
+                odd.add(part)
+                self.known[part] = said
+                self._note(part, self.marked(part), ids)
+        self.fresh.clear()
+        return odd
+
     def encode_text(self, text: str) -> str:
         """The decimal ids of a text, joined by commas."""
         if not text:
             return ""
-        marked = MARK + text.replace(" ", MARK)
         if not self.by_word:
-            return ",".join(map(str, self.word(marked)))
-        known, out = self.known.get, []
-        for part in _words(marked):
-            out.append(known(part) or self._remember(part))
-        return ",".join(out)
+            return ",".join(map(str, self.word(MARK + text.replace(" ", MARK))))
+        parts = self.parts(text)
+        found = list(map(self.known.get, parts))
+        if None in found:
+            found = [self._part(p) if f is None else f for p, f in zip(parts, found)]
+        return ",".join(found)
 
     def encode(self, text: str) -> list[int]:
         return [int(x) for x in self.encode_text(text).split(",") if x]
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids: marks become spaces, the first one goes, runs of byte pieces are read as UTF-8."""
-        if not self.byte_of.keys().isdisjoint(ids):
-            out, run = [], bytearray()
-            for i in ids:
-                if i in self.byte_of:
-                    run.append(self.byte_of[i])
-                    continue
-                if run:
-                    out.append(_utf8(bytes(run)))
-                    run.clear()
-                out.append(self.text_of[i])
-            text = "".join(out) + _utf8(bytes(run))
-        else:
-            text = "".join(map(self.text_of.__getitem__, ids))
-        return text[1:] if text[:1] == " " and ids and ids[0] not in self.byte_of else text
-
+    def decoded_text(self, text: str, ids: str) -> str:
+        """What the ids of text, as encode_text gave them, decode to."""
+        if not self.by_word:
+            return self.decode([int(x) for x in ids.split(",") if x])
+        if self.strange and not self.strange.keys().isdisjoint(parts := self.parts(text) if text else []):
+            whole = "".join(self.strange[p] if p in self.strange else self.marked(p).replace(MARK, " ") for p in parts)
+            return whole[1:] if whole[:1] == " " else whole
+        return text.replace(MARK, " ")
+
+    def pieces(self, ids: list[int]) -> str:
+        """The pieces of ids as text, runs of byte pieces read as UTF-8."""
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join(map(self.text_of.__getitem__, ids))
+        out, run = [], bytearray()
+        for i in ids:
+            if i in self.byte_of:
+                run.append(self.byte_of[i])
+                continue
+            if run:
+                out.append(_utf8(bytes(run)))
+                run.clear()
+            out.append(self.text_of[i])
+        return "".join(out) + _utf8(bytes(run))
 
-def _words(marked: str) -> list[str]:
-    """marked cut before each mark that follows another character."""
-    parts = marked.split(MARK)
-    if "" not in parts[1:]:
-        return [MARK + p for p in parts[1:]]
-    return re.findall(f"{MARK}+[^{MARK}]*", marked)
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids: marks become spaces, and the first one goes."""
+        text = self.pieces(ids)
+        return text[1:] if text[:1] == " " and ids[0] not in self.byte_of else text
 
 
 def _utf8(run: bytes) -> str:
@@ -170,17 +224,18 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model)
-        plain = list(map(str, range(codec.library.get_piece_size())))
         for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
+            found = list(map(codec.encode_text, texts))
+            odd = codec.check()
             rows = []
-            for text, theirs in zip(texts, codec.library.encode(texts, num_threads=1)):
-                joined, expected = codec.encode_text(text), ",".join(map(plain.__getitem__, theirs))
-                decoded = codec.decode(theirs)
-                agrees = joined == expected
-                if decoded != text:  # rare: let the library settle what it decodes to
-                    agrees, decoded = agrees and decoded == codec.library.decode(theirs), codec.library.decode(theirs)
-                rows.append((len(theirs), hashlib.sha256(expected.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), decoded == text, agrees))
+            for text, ids in zip(texts, found):
+                agrees = True
+                if odd and not odd.isdisjoint(codec.parts(text) if text else []):
+                    agrees, ids = False, codec.encode_text(text)
+                decoded = codec.decoded_text(text, ids)
+                n = ids.count(",") + 1 if ids else 0
+                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), decoded == text, agrees))
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.bool_()), pa.array(columns[4], pa.bool_())],
