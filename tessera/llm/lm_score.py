@@ -1,10 +1,12 @@
 """Language-model scoring with two n-gram tries over word classes and over the bytes of rare words.
 
 Words that make up at least 1 / CLASSES of all training tokens are classes of their own, all others share the class of
-rare words; an end closes each text. A trie of class trigrams gives P(class | two classes before it). A rare word w has
-P(w | rare) = (max(c - D, 0) + D * V * P_bytes(w)) / N, with N uses of V rare words in training: each word known gives
-up D uses, which a trie of byte trigrams, counted over the rare words (each once), spreads over all words. So every
-text has a chance, and the chances of all texts sum to one, but for quantisation.
+rare words; an end closes each text. A trie of class trigrams gives P(class | two classes before it). A rare word that
+was seen c times has P(w | rare) = (c - D(c)) / N, with N uses of rare words in training and one discount each for
+words seen once, twice and more often (from the counts of counts); what the discounts free is the chance of a word that
+was never seen, one event as in base_score. So the chances of all sequences of known words and unknown ones sum to one,
+but for quantisation. spelled_score goes further and multiplies an unknown word's chance by that of its spelling, from
+a trie of byte trigrams counted over the rare words (each once), which makes it a distribution over all texts.
 
 Both tries have at most 258 ** 3 n-grams, whatever the corpus; they are built from counts over all training texts and
 mapped by each worker. Word counts are not held in one place: texts are dealt into blocks of about BLOCK bytes, each
@@ -34,8 +36,7 @@ BLOCK = 24 << 20
 CLASSES = 255  # 1 to 255; 0 is the class of rare words
 END, START = 256, 257
 SYMBOLS = 257  # rare, classes or bytes, end
-DISCOUNT = 0.75
-SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, spelled_score double"
 
 
 def _words(raw: bytes | None) -> list[bytes]:
@@ -82,6 +83,14 @@ def _trie(rows: DataFrame) -> bytes:
     return Trie.build(found.column(0).to_numpy(), found.column(1).to_numpy(), SYMBOLS)
 
 
+def discounts(seen: list[int]) -> tuple[float, float, float]:
+    """Discounts for words seen once, twice and three times or more, from how many words were seen 1, 2, 3 and 4 times."""
+    n1, n2, n3, n4 = seen
+    y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    raw = [k - (k + 1) * y * b / a if a and b else 0.5 * k for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+    return tuple(min(max(d, 0.1), k - 0.1) for k, d in zip((1, 2, 3), raw))
+
+
 def block_words(blocks: DataFrame) -> DataFrame:
     """(block, word, n) of each block's distinct words, with their uses in the block's training texts."""
 
@@ -118,7 +127,10 @@ def score(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
     tokens, types = once.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     tokens, types = tokens + ends, types + (ends > 0)
     common = {bytes(w): k for k, (w,) in enumerate(once.where(F.col("c") * (CLASSES + 1) >= tokens).orderBy(F.desc("c"), "word").limit(CLASSES).select("word").collect(), 1)}
-    rare_tokens, rare_types = once.where(~F.col("word").isin(list(common))).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    rare = once.where(~F.col("word").isin(list(common)))
+    rare_tokens, rare_types, *seen = rare.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), *(F.count_if(F.col("c") == k) for k in (1, 2, 3, 4))).first()
+    discount = discounts(seen)
+    unseen = (sum(d * n for d, n in zip(discount, (*seen[:2], rare_types - sum(seen[:2])))) or 1.0) / max(rare_tokens, 1)
 
     def class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, get = _Sums(), common.get
@@ -149,9 +161,9 @@ def score(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
             text, sizes = _bytes_of(words[at : at + 50_000])
             codes, back = np.unique(_trigrams(text, sizes), return_inverse=True)
             spelled[at : at + 50_000] = np.add.reduceat(letters.log10(codes.astype(np.int64))[back], np.concatenate(([0], np.cumsum(sizes + 1)))[:-1])
-        within = (np.maximum(c - DISCOUNT, 0) + DISCOUNT * max(rare_types, 1) * 10.0**spelled) / max(rare_tokens, DISCOUNT)
-        # far below what a double holds, the logarithms are added instead
-        inner = np.where(symbol > 0, 0.0, np.where((c == 0) | (within <= 0), np.log10(DISCOUNT * max(rare_types, 1) / max(rare_tokens, DISCOUNT)) + spelled, np.log10(np.maximum(within, 1e-300))))
+        known = (c - np.choose(np.clip(c, 1, 3).astype(int) - 1, discount)) / max(rare_tokens, 1)
+        inner = np.where(symbol > 0, 0.0, np.log10(np.where(c > 0, np.maximum(known, 1e-300), unseen)))
+        spelled = np.where((symbol > 0) | (c > 0), 0.0, spelled)
         base = np.log10((c + 0.1) / (tokens + 0.1 * (types + 1)))
         base_end = float(np.log10((ends + 0.1) / (tokens + 0.1 * (types + 1))))
         out = []
@@ -164,8 +176,9 @@ def score(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
             outer = np.add.reduceat(classes.log10(codes.astype(np.int64))[back], (bounds + np.arange(len(bounds)))[:-1])
             sums = lambda x: np.array([x[a:b].sum() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())])
             n_known = sums((c[at] > 0).astype(np.int64)) + (ends > 0)
-            out.append((batch.column("doc_id"), batch.column("held_out"), sizes + 1, n_known, np.full(len(sizes), tokens), sums(base[at]) + base_end, outer + sums(inner[at])))
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            said = outer + sums(inner[at])
+            out.append((batch.column("doc_id"), batch.column("held_out"), sizes + 1, n_known, np.full(len(sizes), tokens), sums(base[at]) + base_end, said, said + sums(spelled[at])))
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         return pa.table({name: pa.chunked_array([x[i].cast(t) if isinstance(x[i], pa.Array) else pa.array(x[i], t) for x in out], t) for i, (name, t) in enumerate(zip(names, kinds))})
 
