@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lm_score, near_dup, quality_rules, secret_scan, sentencepiece_codec, toxicity
+from . import decontaminate, lm_score, near_dup, quality_rules, secret_scan, sentencepiece_codec, toxicity, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,26 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
+
+
+ORACLES["op3_url_filter"] = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parsed AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM cut
+), rules(rh, rp, rv) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), fits AS (
+  SELECT p.page_id, p.host, p.path, r.rh || r.rp AS rule, r.rv,
+         row_number() OVER (PARTITION BY p.page_id, p.host, p.path ORDER BY length(r.rh || r.rp) DESC, length(r.rh) DESC) AS place
+  FROM (SELECT DISTINCT * FROM parsed) p JOIN rules r ON (p.host = r.rh OR ends_with(p.host, '.' || r.rh)) AND starts_with(p.path, r.rp)
+)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.rv, CASE WHEN p.host = '' THEN 'block' ELSE 'allow' END) AS verdict
+FROM parsed p LEFT JOIN fits f ON f.place = 1 AND p.page_id IS NOT DISTINCT FROM f.page_id AND p.host = f.host AND p.path = f.path
+"""
