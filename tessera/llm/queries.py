@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lm_score, near_dup, quality_rules, secret_scan, sentencepiece_codec, toxicity, url_filter
+from . import chat_format, decontaminate, license_scan, lm_score, near_dup, quality_rules, secret_scan, sentencepiece_codec, toxicity, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,21 @@ WITH cut AS (
 SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.rv, CASE WHEN p.host = '' THEN 'block' ELSE 'allow' END) AS verdict
 FROM parsed p LEFT JOIN fits f ON f.place = 1 AND p.page_id IS NOT DISTINCT FROM f.page_id AND p.host = f.host AND p.path = f.path
 """
+
+
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_messages(table(spark, sf_dir, "conversations"), chat_format.tool_table(spark))
+
+
+# The tables hold no tool calls; with some, only the operator's own tests apply.
+ORACLES["op10_chat_format"] = """
+SELECT conv_id, turn, role, turn AS order_turn, 0 AS order_depth, 0::BIGINT AS n_calls, 0::BIGINT AS n_answered, 0::BIGINT AS n_invalid,
+       NULL::BIGINT AS answers_turn, false AS in_cycle, to_json({'content': text, 'role': role})::VARCHAR AS message
+FROM conversations
+"""
