@@ -9,9 +9,11 @@ Documents with equal sets form a class with one representative. Bands of ROWS re
 round each member of a bucket is held against the bucket's least member only: the likelihood of the Jaccard similarity
 given which of two documents' registers are greater, smaller or equal (and both sizes) sorts out far pairs, and the full
 sets confirm the rest. Most of a group of copies is then one component. In a second round only buckets that still hold
-several components are looked at: members of different components are compared by registers, in tasks of at most
-2 * CHUNK members (a larger bucket is dealt out in pairs of chunks), and pairs near the threshold are confirmed on full
-sets. So a group of copies costs links in proportion to its size, and no link between components is left out.
+several components are looked at: registers tell which components have members that may be linked, and a bucket hands
+on a forest of these, not the pairs. Components so joined form families; in a family, full sets are compared where
+registers allow a link between different components. A bucket or family of any size is dealt out in pairs of chunks, so
+that a task holds at most 2 * CHUNK members, and the members of a family's largest component are compared with the
+others only. So a group of copies costs rows in proportion to its size, and no link between components is left out.
 
 A pair at the threshold shares no band with a chance of (1 - 0.85 ** ROWS) ** BANDS, 3e-7.
 
@@ -157,75 +159,116 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int, k: int = K) -> DataFrame:
     """The pairs(a, b) of doc_ids whose full shingle sets are similar enough."""
     pairs = cut(pairs)
-    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller = Roller()
-        for batch in slices(batches, 256):
-            sets = [shingles(pack, i, k).tobytes() for _, pack in packs(as_bytes(batch.column(1)), roller) for i in range(len(pack.counts))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
-
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
-    sets = cut(texts.mapInArrow(run, "id long, set binary"))
+    sets = cut(shingle_sets(docs, cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), k))
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 128):
-            good = []
-            for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-                both = np.concatenate((s, t))
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                good.append(100 * common >= percent * (len(s) + len(t) - common))
+            good = [similar(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), percent) for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("s")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("t")), "b")
     return both.select("a", "b", "s", "t").mapInArrow(hold, "a long, b long").distinct()
 
 
-def across(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs(a, b) of members(key, band, n, rep, component) of one bucket that are in different components.
-
-    A pair comes from the first band that it shares only.
-    """
+def forest(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs(a, b) of components that connect all components with likely links, for members(key, n, rep, component) of buckets."""
     low = least_estimate(percent)
-    parts = F.ceil(F.col("n") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     dealt = (
-        members.withColumn("parts", parts).withColumn("own", own)
+        members.withColumn("parts", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", "band", "rep", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        .select("key", "rep", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
         .join(reps.select("rep", F.col("n").alias("size"), "registers"), "rep")
     )
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        band = group.column("band")[0].as_py()
-        rep, part, size, own = (group.column(c).to_numpy() for c in ("rep", "component", "size", "own"))
+        part, size = group.column("component").to_numpy(), group.column("size").to_numpy()
         r = _matrix(group.column("registers").combine_chunks())
-        i, j = key[1].as_py(), key[2].as_py()
-        found_a, found_b = [], []
+        root = part.copy()
+        found = []
         names, counts = np.unique(part, return_counts=True)
-        main = names[counts.argmax()]
-        for x in np.flatnonzero(part != main):  # each pair has an end outside the main component
-            y = np.flatnonzero((part != part[x]) & ((part == main) | (np.arange(len(rep)) > x)) & ((i == j) | (own != own[x])))
+        for x in np.flatnonzero(part != names[counts.argmax()]):  # each pair has an end outside the largest component
+            y = np.flatnonzero(root != root[x])
             y = y[100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])]
-            if not len(y):
-                continue
-            up, down = (r[x] > r[y]).sum(1), (r[x] < r[y]).sum(1)
-            near = M - up - down >= (low - 0.05) * M
-            y, up, down = y[near], up[near], down[near]
-            if not len(y):
-                continue
-            y = y[estimate(up, down, np.full(len(y), float(size[x])), size[y].astype(float)) >= low]
-            agree = (r[x] == r[y]).reshape(len(y), BANDS, ROWS).all(2)
-            y = y[agree.argmax(1) == band] if len(y) else y
-            found_a.append(np.minimum(rep[x], rep[y]))
-            found_b.append(np.maximum(rep[x], rep[y]))
-        join = lambda z: pa.array(np.concatenate(z) if z else np.zeros(0, np.int64), pa.int64())
-        return pa.table({"a": join(found_a), "b": join(found_b)})
+            y = y[likely_rows(r, size, x, y, low)] if len(y) else y
+            for other in np.unique(root[y]):
+                found.append((part[x], part[y[np.flatnonzero(root[y] == other)[0]]]))
+                root[root == other] = root[x]
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
+def likely_rows(r: np.ndarray, size: np.ndarray, x: int, y: np.ndarray, low: float) -> np.ndarray:
+    """Which of the rows y of registers r may be similar enough to row x."""
+    up, down = (r[x] > r[y]).sum(1), (r[x] < r[y]).sum(1)
+    good = M - up - down >= (low - 0.05) * M
+    if good.any():
+        good[good] = estimate(up[good], down[good], np.full(good.sum(), float(size[x])), size[y[good]].astype(float)) >= low
+    return good
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, set) of the rows of docs whose doc_id is in ids(id)."""
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roller = Roller()
+        for batch in slices(batches, 256):
+            sets = [shingles(pack, i, k).tobytes() for _, pack in packs(as_bytes(batch.column(1)), roller) for i in range(len(pack.counts))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
+
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
+    return texts.mapInArrow(run, "id long, set binary")
+
+
+def similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    both = np.concatenate((s, t))
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(s) + len(t) - common)
+
+
+def inside(families: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, k: int = K) -> DataFrame:
+    """Links(a, b) that join the components of each family, for families(rep, component, family)."""
+    low = least_estimate(percent)
+    sizes = families.groupBy("family", "component").agg(F.count("*").alias("n"))
+    mains = sizes.groupBy("family").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"))
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / CHUNK)).cast("int")
+    placed = (
+        families.join(mains, "family").select("family", "rep", "component", (F.col("component") == F.col("main.component")).alias("is_main"), parts(F.col("all") - F.col("main.n")).alias("rest_parts"), parts(F.col("main.n")).alias("main_parts"))
+        .withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("is_main"), F.col("main_parts")).otherwise(F.col("rest_parts"))).cast("int"))
+    )
+    # tasks (i, j, with_main): chunk i of the rest with chunk j of the rest, or of the main component
+    all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    with_rest = F.transform(all_of("rest_parts"), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j"), F.lit(False).alias("with_main")))
+    with_main = F.transform(all_of("main_parts"), lambda o: F.struct(F.col("own").alias("i"), o.alias("j"), F.lit(True).alias("with_main")))
+    from_main = F.transform(all_of("rest_parts"), lambda o: F.struct(o.alias("i"), F.col("own").alias("j"), F.lit(True).alias("with_main")))
+    dealt = placed.select("family", "rep", "component", "is_main", "own", F.explode(F.when(F.col("is_main"), from_main).otherwise(F.concat(with_rest, with_main))).alias("t"))
+    sets = cut(shingle_sets(docs, cut(families.select(F.col("rep").alias("id")).distinct()), k))
+    full = dealt.join(reps.select("rep", F.col("n").alias("size"), "registers"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep").select("family", "t.*", "rep", "component", "is_main", "own", "size", "registers", "set")
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        rep, part, main, own, size = (group.column(c).to_numpy() for c in ("rep", "component", "is_main", "own", "size"))
+        r = _matrix(group.column("registers").combine_chunks())
+        raw = group.column("set").to_pylist()
+        whole = lambda i: np.frombuffer(raw[i], np.uint64)
+        i, j, with_main = (k.as_py() for k in key[1:])
+        root = part.copy()
+        found = []
+        for x in np.flatnonzero(~main):
+            y = np.flatnonzero((root != root[x]) & (main if with_main else (np.arange(len(rep)) > x) & ((i == j) | (own != own[x]))))
+            y = y[100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])]
+            y = y[likely_rows(r, size, x, y, low)] if len(y) else y
+            for z in y[np.argsort(-(r[y] == r[x]).sum(1), kind="stable")]:
+                if root[z] != root[x] and similar(whole(x), whole(z), percent):
+                    found.append((min(rep[x], rep[z]), max(rep[x], rep[z])))
+                    root[root == root[z]] = root[x]
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").where("a <> b").distinct()
+    return full.groupBy("family", "i", "j", "with_main").applyInArrow(run, "a long, b long").distinct()
 
 
 def resolve(docs: DataFrame, percent: int = LEAST_PERCENT, k: int = K) -> DataFrame:
@@ -234,7 +277,7 @@ def resolve(docs: DataFrame, percent: int = LEAST_PERCENT, k: int = K) -> DataFr
     sketches = cut(sketch(docs, k))
     full = sketches.where("doc_id is not null and digest is not null")
     reps = cut(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min_by("registers", "doc_id").alias("registers")))
-    bands = reps.select("rep", F.posexplode(F.array(*(F.xxhash64(F.lit(i), F.substring("registers", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)))).alias("band", "key"))
+    bands = reps.select("rep", F.explode(F.array(*(F.xxhash64(F.lit(i), F.substring("registers", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)))).alias("key"))
     buckets = bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = cut(bands.join(buckets, "key"))
     first = cut(likely(members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), reps, percent))
@@ -242,9 +285,12 @@ def resolve(docs: DataFrame, percent: int = LEAST_PERCENT, k: int = K) -> DataFr
     parts = cut(components(links))
     placed = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = cut(across(placed.join(mixed, "key", "left_semi"), reps, percent).join(first, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        parts = cut(components(links.union(confirm(rest, docs, percent, k))))
+    joins = cut(forest(placed.join(mixed, "key", "left_semi"), reps, percent))
+    if not joins.isEmpty():
+        family = components(joins).select(F.col("node").alias("component"), F.col("component").alias("family"))
+        owned = reps.select("rep").distinct().join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        more = inside(cut(owned.join(family, "component")), reps, docs, percent, k)
+        parts = cut(components(links.union(more)))
     of_class = reps.select("digest", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("of_set"))
     # a doc_id with several rows belongs to the least component of its rows, which the links have joined already
     joined = sketches.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
