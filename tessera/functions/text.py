@@ -100,7 +100,7 @@ def consistency(s: Column) -> Column:
     """A judge's score: the first of 0.0, 0.3, 0.7, 1.0, 0, 1 in the text, else its number clamped to 0..1, else null."""
     pattern = r"(0\.0|0\.3|0\.7|1\.0|0|1)"
     number = strip(s).try_cast("double")
-    return F.when(s.rlike(pattern), F.regexp_extract(s, pattern, 1).cast("double")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
+    return F.when(s.rlike(pattern), F.regexp_extract(s, pattern, 1).cast("double")).when(number.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
 
 
 def join_path(directory: Column, path: Column) -> Column:

@@ -1,24 +1,6 @@
-"""Registry of the engine's queries and of their DuckDB counterparts."""
+"""All queries of the engine."""
 
-from __future__ import annotations
+from . import advantages, batches, curations, metrics, samplers, scoring, texts  # noqa: F401
+from .registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None):
-    """Register a query under a name, with its SQL counterpart if there is one."""
-
-    def keep(f):
-        QUERIES[name] = f
-        if oracle:
-            ORACLES[name] = oracle
-        return f
-
-    return keep
+__all__ = ["ORACLES", "QUERIES"]

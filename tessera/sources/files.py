@@ -33,14 +33,14 @@ def dataset(spark: SparkSession, path: str, kind: str | None = None) -> DataFram
 
 def step_logs(spark: SparkSession, folder: str, options: dict | None = None) -> DataFrame:
     """The samples of all step logs of a folder, by step and place in the log; unreadable files are left out."""
-    logs = spark.read.schema(LOG_SCHEMA).options(**{"multiLine": True, "mode": "PERMISSIVE"} | (options or {})).json(f"{folder}/step_*.json")
+    logs = spark.read.schema(LOG_SCHEMA).options(**{"multiLine": True, "mode": "PERMISSIVE"} | (options or {})).json(f"{folder}/*step_*.json")
     good = logs.where(F.col("_corrupt_record").isNull() & F.col("samples").isNotNull())
     return good.select("step", "timestamp", F.posexplode("samples").alias("place", "s")).select("step", "timestamp", "place", "s.*")
 
 
 def step_log_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The same as a stream: logs as they come."""
-    logs = spark.readStream.schema(LOG_SCHEMA).option("multiLine", True).json(f"{folder}/step_*.json")
+    logs = spark.readStream.schema(LOG_SCHEMA).option("multiLine", True).json(f"{folder}/*step_*.json")
     return logs.where(F.col("samples").isNotNull()).select("step", "timestamp", F.posexplode("samples").alias("place", "s")).select("step", "timestamp", "place", "s.*")
 
 

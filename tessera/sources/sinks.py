@@ -15,13 +15,18 @@ from ..operators import metrics
 def step_documents(scored: DataFrame) -> DataFrame:
     """(name, document): one JSON document for each step, its samples in order, internal rewards left out."""
     sample = F.struct("index", "question", "ground_truth", "response", "group", "original_idx", "datasource", metrics.drop_internal(F.col("rewards")).alias("rewards"))
-    steps = scored.groupBy("step").agg(F.transform(F.array_sort(F.collect_list(F.struct("index", sample.alias("s")))), lambda x: x["s"]).alias("samples"))
+    steps = scored.groupBy("step").agg(F.transform(F.array_sort(F.collect_list(F.struct("index", sample.alias("s"))), lambda a, b: F.signum(a["index"] - b["index"]).cast("int")), lambda x: x["s"]).alias("samples"))
     body = F.struct("step", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.size("samples").cast("long").alias("num_samples"), "samples")
     return steps.select(text.step_name(F.col("step")).alias("name"), F.to_json(body).alias("document"))
 
 
+def write_step_logs(scored: DataFrame, folder: str) -> None:
+    """One document for each step below folder, by Spark's own writer (any store): name=step_000001.json/part-..."""
+    step_documents(scored).repartition("name").write.partitionBy("name").text(folder)
+
+
 def write_documents(documents: DataFrame, folder: str) -> None:
-    """Each (name, document) to a file of its own, by the tasks that hold them."""
+    """Each (name, document) to a file of its own in a folder that all tasks can reach by its path."""
     def put(rows) -> None:
         for row in rows:
             spare = os.path.join(folder, f".{row.name}.{os.getpid()}")
