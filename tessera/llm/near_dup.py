@@ -102,6 +102,8 @@ def registers(points: np.ndarray) -> np.ndarray:
 
 def estimate(greater: np.ndarray, less: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """The likeliest Jaccard similarity of sets of n and m shingles, by how many registers are greater and less."""
+    if len(n) > 512:  # little memory: the grid is 201 wide
+        return np.concatenate([estimate(greater[i : i + 512], less[i : i + 512], n[i : i + 512], m[i : i + 512]) for i in range(0, len(n), 512)])
     u = n / (n + m)
     v = 1 - u
     grid = np.linspace(0, 1, 201)[None, :] * np.minimum(u / v, v / u)[:, None]
@@ -146,7 +148,7 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     low = least_estimate(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4096):
+        for batch in slices(batches, 1024):
             n, m = (batch.column(i).to_numpy().astype(float) for i in (2, 3))
             r, s = _matrix(batch.column(4)), _matrix(batch.column(5))
             good = estimate((r > s).sum(1), (r < s).sum(1), n, m) >= low
