@@ -181,7 +181,7 @@ def hits(docs: DataFrame, items: DataFrame, k: int = K, least: float = LEAST_SCO
     rated = grams.join(counts, "gram", "left").withColumn("n_docs", F.coalesce("n_docs", F.lit(0)))
     rated = rated.withColumn("usual", F.percentile_approx("n_docs", 0.25, 1000).over(own)).where(F.col("n_docs") <= RARE * F.greatest("usual", F.lit(1)))
     seeds = cut(rated.select("item_id", "words", "n_item", "size", "gram", "place"))
-    found = passages(docs, bitmap(seeds), sizes, min(longest + longest // 2, 1000) + 8)
+    found = cut(passages(docs, bitmap(seeds), sizes, min(longest + longest // 2, 1000) + 8))
     pairs = (
         found.withColumn("hit", F.explode(F.arrays_zip("grams", "places"))).select("doc_id", "first", F.col("hit.grams").alias("gram"), F.col("hit.places").alias("at"))
         .join(seeds.select("item_id", "gram", "place", "n_item", "size"), "gram")
