@@ -61,9 +61,9 @@ def box_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("box_reward", f"""
-WITH g AS (SELECT * FROM ({_BOXES}) WHERE x1 < x2 AND y1 < y2), f(j, x1, y1, x2, y2) AS (VALUES (0, 10, 10, 40, 40), (1, 0, 0, 60, 20)),
+WITH g AS (SELECT *, row_number() OVER () AS r FROM ({_BOXES}) WHERE x1 < x2 AND y1 < y2), f(j, x1, y1, x2, y2) AS (VALUES (0, 10, 10, 40, 40), (1, 0, 0, 60, 20)),
 m AS (SELECT g.*, f.j, {_IOU.format(a='g', b='f')} AS v FROM g, f),
-p AS (SELECT l_orderkey, avg(v) AS p FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, max(v) AS v FROM (SELECT *, row_number() OVER () AS r FROM m) GROUP BY ALL) GROUP BY 1),
+p AS (SELECT l_orderkey, avg(v) AS p FROM (SELECT l_orderkey, r, max(v) AS v FROM m GROUP BY ALL) GROUP BY 1),
 r AS (SELECT l_orderkey, avg(v) AS r FROM (SELECT l_orderkey, j, max(v) AS v FROM m GROUP BY 1, 2) GROUP BY 1)
 SELECT o.l_orderkey, round(CASE WHEN p.p IS NULL THEN 0.0 ELSE 0.5 * (p.p + r.r) END, 4) + 0.0 AS reward
 FROM (SELECT DISTINCT l_orderkey FROM lineitem) o LEFT JOIN p USING (l_orderkey) LEFT JOIN r USING (l_orderkey)""")
