@@ -36,7 +36,7 @@ def answers(prompts: Column, call: Callable[[str], str | None], tries: int = 3)
     def ask(s: pd.Series) -> pd.Series:
         asked = with_retry(call, tries)
         known = {p: asked(p) for p in s.dropna().unique()}
-        return s.map(known)
+        return pd.Series([known.get(p) for p in s], dtype=object)
 
     return ask(prompts)
 
