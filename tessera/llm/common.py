@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_MASK = (1 << 64) - 1
+ARROW_ROWS = 1000
+ARROW_BYTES = 8 << 20
 _MULT = 0x9E3779B97F4A7C15
 _MULT_INV = pow(_MULT, -1, 1 << 64)
 
@@ -49,11 +53,32 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ARROW_ROWS rows and ARROW_BYTES bytes from now on, so that long texts need little memory.
+
+    A smaller setting of the session's own stays.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(key, None) or "")
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker process outlives its tasks, and caches of allocators would add up."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches, rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Smaller record batches, so that work on one needs little memory."""
+    give_back()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+    give_back()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

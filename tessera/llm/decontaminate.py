@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Pack, Roller, as_bytes, cut, packs, slices
+from .common import Pack, Roller, as_bytes, cut, packs, slices, small_batches
 
 K = 3
 RARE = 4
@@ -173,6 +173,7 @@ def align(item: list[str], passage: list[str]) -> tuple[int, int, int, int]:
 
 def hits(docs: DataFrame, items: DataFrame, k: int = K, least: float = LEAST_SCORE) -> DataFrame:
     """(doc_id, item_id, score, n_matched, n_item, first_word, last_word) for each document and test item that it holds a copy of."""
+    small_batches(docs.sparkSession)
     grams = cut(item_grams(items, k))
     sizes = sorted(r[0] for r in grams.select("size").distinct().collect())  # 1 to k
     longest = grams.agg(F.max("n_item")).first()[0] or 0

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_bytes, crc_mod, cut, slices
+from .common import as_bytes, crc_mod, cut, slices, small_batches
 from .ngram_trie import ALPHABET, Trie
 
 BLOCK = 24 << 20
@@ -113,6 +113,7 @@ def block_words(blocks: DataFrame) -> DataFrame:
 def score(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
     """One row for each row of docs(doc_id, text): SCHEMA; score is the model's log10 probability of the text."""
     spark = docs.sparkSession
+    small_batches(spark)
     remainder = crc_mod(F.col("doc_id"), 10)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), F.coalesce(remainder != 0, F.lit(False)).alias("train"))
     size, ends = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("train")).first()

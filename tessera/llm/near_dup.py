@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Roller, as_bytes, cut, mix, packs, slices
+from .common import Roller, as_bytes, cut, mix, packs, slices, small_batches
 from .graph import components
 
 K = 5
@@ -275,6 +275,7 @@ def inside(families: DataFrame, reps: DataFrame, docs: DataFrame, percent: int,
 
 def resolve(docs: DataFrame, percent: int = LEAST_PERCENT, k: int = K) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text)."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = cut(sketch(docs, k))
     full = sketches.where("doc_id is not null and digest is not null")

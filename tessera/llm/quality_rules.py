@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Pack, Roller, as_bytes, mix, packs, slices
+from .common import Pack, Roller, as_bytes, mix, packs, slices, small_batches
 
 LENGTHS = (5, 7, 10)
 #: A text is dropped if more than this share of its word characters is covered.
@@ -85,6 +85,7 @@ def measure(texts: list[bytes | None], roller: Roller) -> Iterator[tuple]:
 
 def judge(docs: DataFrame) -> DataFrame:
     """One row for each row of docs(doc_id, text): SCHEMA."""
+    small_batches(docs.sparkSession)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

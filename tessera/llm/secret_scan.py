@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices
+from .common import as_bytes, slices, small_batches
 
 # The kinds in order and what they match.
 KINDS = ("assign", "access", "hex", "guess")
@@ -158,6 +158,7 @@ def _said(spans: list[tuple[int, int, int]]) -> str:
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row for each row of docs(doc_id, text): SCHEMA."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
@@ -175,6 +176,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """docs with each secret in column text replaced by mark; all other columns as they were. Overlapping spans become one mark."""
+    small_batches(docs.sparkSession)
 
     def clean(raw: bytes | None) -> str | None:
         if raw is None:

@@ -25,11 +25,11 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import slices, small_batches
 
 MARK = "▁"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean, agrees boolean"
-REMEMBERED_PARTS = 500_000
+REMEMBERED_PARTS = 200_000
 
 
 class Codec:
@@ -221,6 +221,7 @@ def codec_of(model: str) -> Codec:
 
 def encode_documents(docs: DataFrame, model: str) -> DataFrame:
     """One row for each row of docs(doc_id, text): SCHEMA."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model)

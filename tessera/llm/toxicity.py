@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, crc_mod, cut, slices
+from .common import as_bytes, crc_mod, cut, slices, small_batches
 
 SAMPLE = 12_000
 SAMPLE_FEATURES = 50_000
@@ -78,7 +78,7 @@ class Model:
 
     def of_word(self, word: bytes) -> float:
         score = next((s for f in reversed(features(word)) if (s := self.scores.get(f)) is not None), LOSS)
-        if len(self.memory) >= 400_000:
+        if len(self.memory) >= 150_000:
             self.memory.clear()
         self.memory[word] = score
         return score
@@ -183,6 +183,7 @@ def weigh(uses: dict[bytes, tuple[int, int]], toxic: int, clean: int) -> dict[by
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most `sample` labelled rows of docs(doc_id, text) whose crc32 remainder by 3 is not 1."""
+    small_batches(docs.sparkSession)
     chosen = (
         labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("y"))
         .where(F.col("id").isNotNull() & F.col("y").isNotNull() & (crc_mod(F.col("id"), 3) != 1))
@@ -255,6 +256,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row for each row of docs(doc_id, text): SCHEMA; passages: first:end of each significant passage, in words."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model.parts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,6 +279,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of docs whose text the model does not call toxic, with all their columns."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model.parts())
     at = docs.columns.index(text)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 
 # The production rules (host, path, verdict).
 RULES = (
@@ -82,6 +82,7 @@ class _Node:
 
 def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """One row for each row of pages(page_id, url): SCHEMA."""
+    small_batches(pages.sparkSession)
     parsed_schema = "key string, path string, host string, page_id long, verdict string, mark long"
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
