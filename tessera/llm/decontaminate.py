@@ -35,6 +35,7 @@ DRIFT = 12
 LEAST_SCORE = 0.5
 BITS = 1 << 24
 MATCH, MISS = 2, -1
+_SCORE, _SAME = 40, 20  # bits below a score and below the matches: up to a million words each
 BROADCAST_IDS = 1 << 20
 
 
@@ -147,28 +148,29 @@ def passages(docs: DataFrame, bits: bytes, sizes: list[int], margin: int) -> Dat
 
 
 def align(item: list[str], passage: list[str]) -> tuple[int, int, int, int]:
-    """Best local alignment: (matches, mismatches and gaps, first word in the passage, end)."""
+    """Best local alignment: (matches, mismatches and gaps, first word in the passage, end).
+
+    One row of cells is held: a cell is one number, its score before its matches before the start of its alignment, so
+    that the greatest number is the best alignment and carries what is known of it.
+    """
     code = {w: i for i, w in enumerate(dict.fromkeys(item))}
-    p = np.array([code.get(w, -1) for w in passage])
-    n, m = len(item), len(passage)
-    best = np.zeros((n + 1, m + 1), np.int32)
-    steps = np.arange(m + 1, dtype=np.int32)
-    for i, w in enumerate(item, 1):
-        row = np.zeros(m + 1, np.int32)
-        row[1:] = np.maximum(best[i - 1, :-1] + np.where(p == code[w], MATCH, MISS), best[i - 1, 1:] + MISS)
-        np.maximum(row, 0, out=row)
-        best[i] = np.maximum.accumulate(row - MISS * steps) + MISS * steps  # gaps along the passage
-    i, j = (int(x) for x in np.unravel_index(best.argmax(), best.shape))
-    end, same, other = j, 0, 0
-    while best[i, j] > 0:
-        hit = item[i - 1] == passage[j - 1]
-        if best[i, j] == best[i - 1, j - 1] + (MATCH if hit else MISS):
-            i, j, same, other = i - 1, j - 1, same + hit, other + (not hit)
-        elif best[i, j] == best[i - 1, j] + MISS:
-            i, other = i - 1, other + 1
-        else:
-            j, other = j - 1, other + 1
-    return same, other, j, end
+    p = np.array([code.get(w, -1) for w in passage], np.int64)
+    m = len(passage)
+    one = np.int64(1 << _SCORE)
+    here = np.arange(m + 1, dtype=np.int64)  # an alignment that starts at this word
+    hit, row = MATCH * one + (1 << _SAME), here.copy()
+    top, end = np.int64(0), 0
+    for w in item:
+        down = row + MISS * one
+        down[1:] = np.maximum(down[1:], row[:-1] + np.where(p == code[w], hit, MISS * one))
+        down = np.where(down < one, here, down)
+        row = np.maximum.accumulate(down - MISS * one * here) + MISS * one * here  # gaps along the passage
+        row = np.where(row < one, here, row)
+        j = int((row >> _SCORE).argmax())
+        if row[j] >> _SCORE > top >> _SCORE:
+            top, end = row[j], j
+    score, same = int(top >> _SCORE), int(top >> _SAME) & ((1 << (_SCORE - _SAME)) - 1)
+    return same, MATCH * same - score, int(top) & ((1 << _SAME) - 1) if score else end, end
 
 
 def hits(docs: DataFrame, items: DataFrame, k: int = K, least: float = LEAST_SCORE) -> DataFrame:
