@@ -40,6 +40,7 @@ LONGEST_PREFIX = 12
 SHORTEST_PREFIX = 3
 LEAST_Z = 3.0
 LEAST_WEIGHT = 2.0
+MOST_WEIGHT = 8.0
 LEAST_USES = 3
 MOST_IN_A_TEXT = 3  # uses of a feature that count in one text of the sample
 LEAST_TEXTS = 4
@@ -176,8 +177,9 @@ def weigh(uses: dict[bytes, tuple[int, int]], toxic: int, clean: int) -> dict[by
             m = (pt - t + PRIOR_WEIGHT * mean[parent]) / (pt + pc - t - c + PRIOR_WEIGHT)
         m = mean[f] = min(max(m, 1e-4), 1 - 1e-4)
         a, b = t + PRIOR_WEIGHT * m, c + PRIOR_WEIGHT * (1 - m)
-        w = logit(a / (a + b)) - logit(share)
-        out[f] = (w, w / math.sqrt(1 / a + 1 / b))
+        w = min(logit(a / (a + b)) - logit(share), MOST_WEIGHT)
+        # how certain the counts make it, whatever share the parent hands down
+        out[f] = (w, w / math.sqrt(1 / a + 1 / (c + PRIOR_WEIGHT * (1 - share))))
     return out
 
 
