@@ -29,7 +29,7 @@ from .common import slices, small_batches
 
 MARK = "▁"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean, agrees boolean"
-REMEMBERED_PARTS = 200_000
+REMEMBERED_PARTS = 400_000
 
 
 class Codec:
