@@ -33,6 +33,7 @@ from .common import as_bytes, crc_mod, cut, slices, small_batches
 from .ngram_trie import ALPHABET, Trie
 
 BLOCK = 24 << 20
+LEAST_BLOCK = 1 << 20
 CLASSES = 255  # 1 to 255; 0 is the class of rare words
 END, START = 256, 257
 SYMBOLS = 257  # rare, classes or bytes, end
@@ -117,7 +118,8 @@ def score(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
     remainder = crc_mod(F.col("doc_id"), 10)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), F.coalesce(remainder != 0, F.lit(False)).alias("train"))
     size, ends = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("train")).first()
-    n_blocks = max(1, -(-size // block_bytes))
+    # as many blocks as there are shuffle partitions if these are smaller then, each in a task of its own
+    n_blocks = max(1, -(-size // block_bytes), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // LEAST_BLOCK)))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block")
     blocks = docs.select("*", block)
 
@@ -183,5 +185,6 @@ def score(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         return pa.table({name: pa.chunked_array([x[i].cast(t) if isinstance(x[i], pa.Array) else pa.array(x[i], t) for x in out], t) for i, (name, t) in enumerate(zip(names, kinds))})
 
-    left = blocks.select("block", "doc_id", "held_out", "text")
-    return left.groupBy("block").cogroup(vocabulary.select("block", "word", "c").groupBy("block")).applyInArrow(run, SCHEMA)
+    left = blocks.select("block", "doc_id", "held_out", "text").repartitionById(n_blocks, F.col("block"))
+    right = vocabulary.select("block", "word", "c").repartitionById(n_blocks, F.col("block"))
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, SCHEMA)
