@@ -1,7 +1,7 @@
 """Toxicity: maximum-scoring segments over token log-odds, aggregated by extreme-value calibration.
 
 Learning: in a bounded sample of labelled texts, count each feature (a word, or the beginning of a word) in the toxic
-and in the other texts. The share of toxic ones among a feature's uses has a Dirichlet prior whose mean is the share
+and in the other texts, once behind each word that it follows. The share of toxic ones among a feature's uses has a Dirichlet prior whose mean is the share
 among the other uses of its parent (the feature shorter by one character), and so on down to the share of all. The
 log-odds of that share against the share of all is the feature's weight. A word scores the weight of the longest
 feature of it that is known, if that is significant, or a small loss.
@@ -42,8 +42,7 @@ LEAST_Z = 3.0
 LEAST_WEIGHT = 2.0
 MOST_WEIGHT = 8.0
 LEAST_USES = 3
-MOST_IN_A_TEXT = 3  # uses of a feature that count in one text of the sample
-LEAST_TEXTS = 4
+LEAST_TOXIC = 4
 LOSS = -0.25
 PRIOR_WEIGHT = 1.0  # Dirichlet mass of the parent's share
 THRESHOLD = 0.7
@@ -198,28 +197,35 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not toxic or not clean:
         return Model({}, level=math.log((toxic + 0.5) / (clean + 0.5)))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[bytes, list[bytes]] = {}
-        sums: tuple[Counter, Counter] = (Counter(), Counter())
-        for batch in batches:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            word, before, toxic_ = [], [], []
             for raw, y in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist()):
-                own: Counter = Counter()
-                for w, n in Counter(words(raw)).items():
-                    if (f := memory.get(w)) is None:
-                        if len(memory) > 200_000:
-                            memory.clear()
-                        f = memory[w] = features(w)
-                    for x in f:
-                        own[x] += n
-                sums[y].update({x: min(n, MOST_IN_A_TEXT) for x, n in own.items()})
-        out = [(f, sums[1][f], sums[0][f]) for f in sums[0].keys() | sums[1].keys()]
+                said = words(raw)
+                for a, w in set(zip([b"", *said], said)):
+                    word.append(w)
+                    before.append(a)
+                toxic_ += [y] * (len(word) - len(toxic_))
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(before, pa.binary()), pa.array(toxic_, pa.int32())], names=["word", "before", "y"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, c = Counter(), Counter()
+        for batch in batches:
+            for w, n, m in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                for f in features(w):
+                    t[f] += n
+                    c[f] += m
+        out = list(t)
         for at in range(0, len(out), 100_000):
-            a, b, c = zip(*out[at : at + 100_000])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["feature", "t", "c"])
+            f = out[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.binary()), pa.array([t[x] for x in f], pa.int64()), pa.array([c[x] for x in f], pa.int64())], names=["feature", "t", "c"])
 
-    sums = cut(texts.mapInArrow(count, "feature binary, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
+    # a use behind the same word counts once in toxic and once in other texts, so that near copies of one text weigh little
+    seen = texts.mapInArrow(pairs, "word binary, before binary, y int").groupBy("word", F.xxhash64("before").alias("b")).agg(F.max("y").alias("t"), F.max(1 - F.col("y")).alias("c"))
+    uses = seen.groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    sums = cut(uses.mapInArrow(spread, "feature binary, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
     read = lambda rows: {f: (t, c) for f, t, c in zip(*(rows.column(i).to_pylist() for i in range(3)))}
-    uses = read(sums.where(F.col("t") >= LEAST_TEXTS).toArrow())
+    uses = read(sums.where(F.col("t") >= LEAST_TOXIC).toArrow())
     certain = lambda w: w[0] >= LEAST_WEIGHT and w[1] >= LEAST_Z
     roots = {f for f, w in weigh(uses, toxic, clean).items() if certain(w)}
 
@@ -228,7 +234,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield batch.filter(pa.array([not roots.isdisjoint(features(f.rstrip(b" "))[1:]) for f in batch.column(0).to_pylist()], pa.bool_()))
 
     if roots:
-        uses |= read(sums.where((F.col("t") < LEAST_TEXTS) & (F.col("t") + F.col("c") >= LEAST_USES)).mapInArrow(below, sums.schema).orderBy(F.desc(F.col("t") + F.col("c")), "feature").limit(SAMPLE_FEATURES).toArrow())
+        uses |= read(sums.where((F.col("t") < LEAST_TOXIC) & (F.col("t") + F.col("c") >= LEAST_USES)).mapInArrow(below, sums.schema).orderBy(F.desc(F.col("t") + F.col("c")), "feature").limit(SAMPLE_FEATURES).toArrow())
     weights = weigh(uses, toxic, clean)
     under = lambda f: f in roots or not roots.isdisjoint(features(f.rstrip(b" "))[1:])
     # of beginnings with the same uses, the longest stands for all
