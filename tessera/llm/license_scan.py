@@ -62,7 +62,7 @@ def templates(spark: SparkSession) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of docs(doc_id, text)."""
     words = F.array_remove(F.split(F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER), _SPLIT), "")
-    texts = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.concat(F.array(F.lit("")), words).alias("w"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.concat(F.array(F.lit("")), words).alias("w"))
     texts = texts.select("doc_id", "row", (F.size("w") - 1).cast("long").alias("n_words"), "w")  # ahead of the windows, which then leave w behind
     windows = texts.select(
         "doc_id", "row", "n_words",

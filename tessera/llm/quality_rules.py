@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import Pack, Roller, as_bytes, mix, packs, slices, small_batches
 
@@ -95,4 +96,4 @@ def judge(docs: DataFrame) -> DataFrame:
             columns = list(zip(*measure(as_bytes(batch.column(1)), roller))) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import slices, small_batches
 
@@ -243,4 +244,4 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip", "agrees"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)

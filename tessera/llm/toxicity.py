@@ -282,7 +282,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["doc_id", "held_out", "score", "predicted", "n_words", "n_passages", "passages"])
 
     held = F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False))
-    return docs.select("doc_id", "text", held.alias("held_out")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out")).mapInArrow(run, SCHEMA)
 
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
