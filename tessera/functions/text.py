@@ -108,7 +108,7 @@ def join_path(directory: Column, path: Column) -> Column:
 
 
 def step_name(step: Column) -> Column:
-    return F.concat(F.lit("step_"), F.lpad(step.cast("string"), 6, "0"), F.lit(".json"))
+    return F.format_string("step_%06d.json", step)
 
 
 def row_tag(*parts: Column) -> Column:

@@ -104,9 +104,9 @@ def sft_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.col("s.conversations")[0]["value"].alias("question"), F.col("s.conversations")[1]["value"].alias("reply"))
 
 
-@query("rewrites", r"SELECT doc_id, 3 AS n_variants, md5(regexp_replace(regexp_replace(text, '[ \n]+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM documents WHERE lang = 'en' AND regexp_full_match(text, '[\x00-\x7F]*')")
+@query("rewrites", r"SELECT doc_id, 3 AS n_variants, md5(regexp_replace(regexp_replace(text, '[ \n]+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM documents")
 def rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where((F.col("lang") == "en") & F.col("text").rlike(r"\A[\x00-\x7F]*\z"))
+    docs = table(spark, sf_dir, "documents")
     return curation.rewrites(docs.select("doc_id", "text"), F.col("text"), 3).select("doc_id", F.size("variants").alias("n_variants"), F.md5(F.col("variants")[2]).alias("digest"))
 
 

@@ -58,11 +58,13 @@ def loader_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("epochs", """
-SELECT epoch, doc_id, pos, pos // 50 AS batch_id FROM (SELECT CAST(e AS INTEGER) AS epoch, doc_id, row_number() OVER (PARTITION BY e ORDER BY md5('5:' || e || ':' || doc_id), doc_id) - 1 AS pos
- FROM (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 200), range(2) r(e))""")
+WITH d AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents) WHERE p < (SELECT count(*) FROM documents) // 50 * 50)
+SELECT epoch, doc_id, pos, pos // 50 AS batch_id FROM (SELECT CAST(e AS INTEGER) AS epoch, doc_id, row_number() OVER (PARTITION BY e ORDER BY md5('5:' || e || ':' || doc_id), doc_id) - 1 AS pos FROM d, range(2) r(e))""")
 def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _ids(spark, sf_dir).select("doc_id").orderBy("doc_id").limit(200)  # mini-batches must divide the rows
-    return sampling.epochs(rows, 50, 2, 5, "doc_id", 200).select("epoch", "doc_id", "pos", "batch_id")
+    """Two passes over the documents, cut to whole mini-batches."""
+    rows = batch.with_pos(_ids(spark, sf_dir).select("doc_id"), "doc_id")
+    n = rows.count() // 50 * 50
+    return sampling.epochs(rows.where(F.col("pos") < n), 50, 2, 5, "doc_id", n).select("epoch", "doc_id", "pos", "batch_id")
 
 
 @query("batch_accumulate", """
