@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 # The sections whose time is held against response tokens, and against all tokens.
 BY_RESPONSE = ("gen", "reward")
@@ -47,8 +46,8 @@ def group_stats(df: DataFrame, group: str, values: list[str]) -> DataFrame:
 def prefixed(df: DataFrame, group: str, names: dict[str, str], values: list[str]) -> DataFrame:
     """Columns prefix/value that hold the value in rows of the group only; batch/n_prefix counts all rows of the group."""
     columns = [F.when(F.col(group) == g, F.col(v)).alias(f"{p}/{v}") for g, p in names.items() for v in values]
-    counts = [F.count_if(F.col(group) == g).over(Window.partitionBy()).alias(f"batch/n_{p}") for g, p in names.items()]
-    return df.select("*", *columns, *counts)
+    counts = df.agg(*(F.count_if(F.col(group) == g).alias(f"batch/n_{p}") for g, p in names.items()))
+    return df.select("*", *columns).crossJoin(F.broadcast(counts))  # one row of counts
 
 
 def drop_internal(m: Column) -> Column:

@@ -11,12 +11,31 @@ def ticket(seed: int, *key: str | Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in key)))
 
 
-def _numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long") - 1)
+BUCKET_ROWS = 50_000
+
+
+def ranked(df: DataFrame, draw: Column, key: str, name: str, rows: int, group: list[str] | None = None) -> DataFrame:
+    """Row numbers from 0 in the order of (draw, key), for each group or over all; rows: about how many a group has.
+
+    Draws are hexadecimal digests, so their first digits cut many rows into even buckets: rows are numbered inside buckets,
+    and a running count over the buckets gives their starts.
+    """
+    digits, keys = 0, list(group or [])
+    while rows / 16**digits > BUCKET_ROWS:
+        digits += 1
+    drawn = df.withColumn("_draw", draw)
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    if not digits:
+        return drawn.withColumn(name, F.row_number().over(whole.orderBy("_draw", key)).cast("long") - 1).drop("_draw")
+    drawn = drawn.withColumn("_bucket", F.substring("_draw", 1, digits))
+    sizes = drawn.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
+    starts = sizes.select(*keys, "_bucket", (F.sum("_n").over(whole.orderBy("_bucket")) - F.col("_n")).alias("_start"))
+    own = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy("_draw", key))
+    return drawn.join(starts, [*keys, "_bucket"]).withColumn(name, F.col("_start") + own - 1).drop("_draw", "_bucket", "_start")
 
 
 def shuffled(df: DataFrame, key: str, seed: int, name: str = "pos") -> DataFrame:
-    return _numbered(df, [ticket(seed, key), F.col(key)], name)
+    return ranked(df, ticket(seed, key), key, name, df.count())
 
 
 def paired(df: DataFrame, pair: str, member: str, seed: int, size: int = 2) -> DataFrame:
@@ -44,8 +63,8 @@ def mixed(pairs: DataFrame, singles: DataFrame, key: str, seed: int, batch: int,
         return first
     passes = -(-n_batches * rest // n_single) or 1
     again = singles.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
-    turn = F.row_number().over(Window.partitionBy("_pass").orderBy(ticket(seed, F.col("_pass"), F.col(key)), key)) - 1
-    slots = again.withColumn("_slot", F.col("_pass") * n_single + turn).where(F.col("_slot") < n_batches * rest)
+    turns = ranked(again, ticket(seed, F.col("_pass"), F.col(key)), key, "_turn", n_single, ["_pass"])
+    slots = turns.withColumn("_slot", F.col("_pass") * n_single + F.col("_turn")).where(F.col("_slot") < n_batches * rest)
     second = slots.select((F.col("_slot") / rest).cast("long").alias("batch_id"), (F.lit(2 * per_batch) + F.pmod("_slot", F.lit(rest))).cast("long").alias("slot"), key, F.lit("single").alias("kind"), F.lit(0).alias("member"))
     return first.unionByName(second)
 
@@ -64,8 +83,7 @@ def epochs(df: DataFrame, size: int, n: int, seed: int, key: str, rows: int | No
     if rows % size:
         raise ValueError(f"{rows} rows in batches of {size}")
     each = df.drop("pos").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    place = F.row_number().over(Window.partitionBy("epoch").orderBy(ticket(seed, F.col("epoch"), F.col(key)), key)).cast("long") - 1
-    return each.withColumn("pos", place).withColumn("batch_id", F.floor(F.col("pos") / size))
+    return ranked(each, ticket(seed, F.col("epoch"), F.col(key)), key, "pos", rows, ["epoch"]).withColumn("batch_id", F.floor(F.col("pos") / size))
 
 
 def sample(df: DataFrame, keys: list[str], row: str, n: int, seed: int) -> DataFrame:

@@ -157,6 +157,15 @@ def test_samplers(spark):
     assert sampling.sample_all(pairs, "k", 0, 1).count() == 0
 
 
+def test_ranks_in_buckets(spark, monkeypatch):
+    df = spark.range(500).select(F.col("id").alias("k"), (F.col("id") % 2).alias("g"))
+    whole = [sampling.shuffled(df, "k", 9).orderBy("k").collect(), sampling.epochs(df, 50, 2, 3, "k", 500).orderBy("epoch", "k").collect()]
+    monkeypatch.setattr(sampling, "BUCKET_ROWS", 10)
+    assert whole[0] == sampling.shuffled(df, "k", 9).orderBy("k").collect()
+    cut = sampling.epochs(df, 50, 2, 3, "k", 500).orderBy("epoch", "k")
+    assert [(r.epoch, r.k, r.pos) for r in whole[1]] == [(r.epoch, r.k, r.pos) for r in cut.collect()]
+
+
 def test_retention(spark):
     steps = spark.createDataFrame([(s,) for s in (5, 10, 15, 20, 25)], "step long")
     assert sorted(r.step for r in curation.retained(steps, 30, 10, 3).collect()) == [10, 25]
