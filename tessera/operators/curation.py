@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
-# The data sources that are not paired, and the tasks by group.
-ALLOWED = ("treevgr",)
+# The tasks by group.
 TASKS = {"A": "grounding", "B": "math_nobox", "single": "math_single"}
 
 
