@@ -5,7 +5,8 @@ An item's seeds are its n-grams that are rare by its own measure: in at most RAR
 of the lower quartile. So an item that leaked into a third of all documents still has seeds. Second pass: each document
 gives the places of seeds, grouped to passages with a margin, and a Spark join by seed hash pairs passages with items.
 A pair whose seeds lie near one diagonal is aligned word by word (a match scores 2, a mismatch or gap -1); its score is
-the share of the item's words that the best local alignment matches, less its mismatches and gaps at half weight.
+the share of the item's words that the best local alignment matches, less its mismatches and gaps at half weight. At
+least LEAST_MATCHED words must match, or all of a shorter item.
 
 A fixed-size bitmap of hashes keeps other n-grams from leaving the scan; the exact join follows, so a collision costs
 time only. Test items are joined by Spark, never held on the driver; the bitmap has BITS bits whatever their number.
@@ -33,6 +34,7 @@ RARE = 4
 LEAST_SEEDS = 2  # on nearly one diagonal; one is enough if the item has only a few n-grams
 DRIFT = 12
 LEAST_SCORE = 0.5
+LEAST_MATCHED = 8  # words, or all of a shorter item: a few words that many texts share are no copy
 BITS = 1 << 24
 MATCH, MISS = 2, -1
 _SCORE, _SAME = 40, 20  # bits below a score and below the matches: up to a million words each
@@ -206,7 +208,7 @@ def hits(docs: DataFrame, items: DataFrame, k: int = K, least: float = LEAST_SCO
                 a = max(lo - first - n - n // 2 - DRIFT, 0)
                 same, other, i, j = align(target, words.split(" ")[a : hi - first + n + n // 2 + DRIFT])
                 score = max(0.0, (same - other / 2) / n)
-                if score >= least:
+                if score >= least and same >= min(n, LEAST_MATCHED):
                     rows.append((doc, item, score, same, n, first + a + i, first + a + j - 1))
             columns = list(zip(*rows)) or [[]] * 7
             kinds = [pa.int64(), pa.int64(), pa.float64()] + [pa.int64()] * 4

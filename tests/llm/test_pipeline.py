@@ -28,9 +28,11 @@ def test_pipeline_equals_plain_stages(spark, sf_dir):
     assert len(rows) < docs.count()
     rows = {i: rows[i] for i, (_, c) in brute_components(list(rows.items())).items() if i == c}
     items = [r.text.lower().split() for r in table(spark, sf_dir, "benchmark").collect()]
+
     def copied(text):
         w = (text or "").lower().split()
-        return any((same - other / 2) / len(item) >= decontaminate.LEAST_SCORE for item in items for same, other, _, _ in [decontaminate.align(item, w)])
+        aligned = ((len(item), *decontaminate.align(item, w)[:2]) for item in items)
+        return any((same - other / 2) / n >= decontaminate.LEAST_SCORE and same >= min(n, decontaminate.LEAST_MATCHED) for n, same, other in aligned)
 
     rows = {i: t for i, t in rows.items() if not copied(t)}
     library = sentencepiece_codec.Codec(queries.piece_model()).library
