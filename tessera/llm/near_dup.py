@@ -43,6 +43,7 @@ BASE = 1.02
 LEAST_PERCENT = 85
 MARGIN = 4.0  # standard errors of the estimate
 CHUNK = 2048
+SPREAD, SPREAD_ROWS = 8, 128
 BROADCAST_IDS = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -237,7 +238,8 @@ def inside(families: DataFrame, reps: DataFrame, docs: DataFrame, percent: int,
     low = least_estimate(percent)
     sizes = families.groupBy("family", "component").agg(F.count("*").alias("n"))
     mains = sizes.groupBy("family").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"))
-    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / CHUNK)).cast("int")
+    # even a family that one task could hold is spread over some
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / CHUNK), F.least(F.lit(SPREAD), F.ceil(n / SPREAD_ROWS))).cast("int")
     placed = (
         families.join(mains, "family").select("family", "rep", "component", (F.col("component") == F.col("main.component")).alias("is_main"), parts(F.col("all") - F.col("main.n")).alias("rest_parts"), parts(F.col("main.n")).alias("main_parts"))
         .withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("is_main"), F.col("main_parts")).otherwise(F.col("rest_parts"))).cast("int"))
