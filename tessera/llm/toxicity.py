@@ -210,15 +210,21 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, c = Counter(), Counter()
-        for batch in batches:
+
+        def held() -> pa.RecordBatch:
+            f = list(t)
+            return pa.RecordBatch.from_arrays([pa.array(f, pa.binary()), pa.array([t[x] for x in f], pa.int64()), pa.array([c[x] for x in f], pa.int64())], names=["feature", "t", "c"])
+
+        for batch in slices(batches, 1024):
             for w, n, m in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 for f in features(w):
                     t[f] += n
                     c[f] += m
-        out = list(t)
-        for at in range(0, len(out), 100_000):
-            f = out[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.binary()), pa.array([t[x] for x in f], pa.int64()), pa.array([c[x] for x in f], pa.int64())], names=["feature", "t", "c"])
+            if len(t) > 50_000:  # parts of a sum are added behind the shuffle
+                yield held()
+                t.clear()
+                c.clear()
+        yield held()
 
     # a use behind the same word counts once in toxic and once in other texts, so that near copies of one text weigh little
     seen = texts.mapInArrow(pairs, "word binary, before binary, y int").groupBy("word", F.xxhash64("before").alias("b")).agg(F.max("y").alias("t"), F.max(1 - F.col("y")).alias("c"))
