@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
-First pass: the n-grams of K words of all test items are counted over all documents (one count for each document).
-An item's seeds are its n-grams that are rare by its own measure: in at most RARE times as many documents as its n-gram
-of the lower quartile. So an item that leaked into a third of all documents still has seeds. Second pass: each document
-gives the places of seeds, grouped to passages with a margin, and a Spark join by seed hash pairs passages with items.
+Every n-gram of K words of a test item is a seed, however many documents hold it: a copy that thousands of documents
+share, whole, edited or cut short, keeps all the seeds that its edits left. Each document gives the places of seeds,
+grouped to passages with a margin, and a Spark join by seed hash pairs passages with items. Rows of that join are the
+uses of seeds in documents, once for each item that has the seed; a phrase alone goes no further, two seeds must agree.
 A pair whose seeds lie near one diagonal is aligned word by word (a match scores 2, a mismatch or gap -1); its score is
 the share of the item's words that the best local alignment matches, less its mismatches and gaps at half weight. At
 least LEAST_MATCHED words must match, or all of a shorter item.
@@ -30,7 +30,6 @@ from pyspark.sql.window import Window
 from .common import Pack, Roller, as_bytes, cut, packs, slices, small_batches
 
 K = 3
-RARE = 4
 LEAST_SEEDS = 2  # on nearly one diagonal; one is enough if the item has only a few n-grams
 DRIFT = 12
 LEAST_SCORE = 0.5
@@ -93,32 +92,6 @@ def _all_grams(pack: Pack, sizes: list[int]) -> Iterator[tuple[np.ndarray, np.nd
             yield pack.roller.spans(pack.sums, pack.starts[at], pack.ends[at + k - 1]), at, text[at]
 
 
-def document_counts(docs: DataFrame, bits: bytes, sizes: list[int]) -> DataFrame:
-    """(gram, n_docs) over all rows of docs(text) of the n-grams whose bit is set."""
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, mask = Roller(), np.unpackbits(np.frombuffer(sent.value, np.uint8)).view(bool)
-        held = np.zeros(0, np.uint64)
-        counts = np.zeros(0, np.int64)
-        for batch in slices(batches, 1024):
-            parts = [held]
-            for _, pack in packs(as_bytes(batch.column(0)), roller):
-                for h, _, text in _all_grams(pack, sizes):
-                    go = mask[_bit(h)]
-                    pairs = np.unique(np.stack([text[go].astype(np.uint64), h[go]]), axis=1)
-                    parts.append(pairs[1])
-            grams, back = np.unique(np.concatenate(parts), return_inverse=True)
-            counts = np.bincount(back, np.concatenate([counts, np.ones(len(back) - len(held))]), len(grams)).astype(np.int64)
-            held = grams
-            if len(held) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), pa.array(counts)], names=["gram", "n_docs"])
-                held, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), pa.array(counts)], names=["gram", "n_docs"])
-
-    return docs.select("text").mapInArrow(run, "gram long, n_docs long").groupBy("gram").agg(F.sum("n_docs").alias("n_docs"))
-
-
 def passages(docs: DataFrame, bits: bytes, sizes: list[int], margin: int) -> DataFrame:
     """(doc_id, first, words, grams, places) for each run of hits of docs(doc_id, text) that are at most margin words apart."""
     sent = docs.sparkSession.sparkContext.broadcast(bits)
@@ -178,14 +151,9 @@ def align(item: list[str], passage: list[str]) -> tuple[int, int, int, int]:
 def hits(docs: DataFrame, items: DataFrame, k: int = K, least: float = LEAST_SCORE) -> DataFrame:
     """(doc_id, item_id, score, n_matched, n_item, first_word, last_word) for each document and test item that it holds a copy of."""
     small_batches(docs.sparkSession)
-    grams = cut(item_grams(items, k))
-    sizes = sorted(r[0] for r in grams.select("size").distinct().collect())  # 1 to k
-    longest = grams.agg(F.max("n_item")).first()[0] or 0
-    counts = document_counts(docs, bitmap(grams), sizes)
-    own = Window.partitionBy("item_id", "words")
-    rated = grams.join(counts, "gram", "left").withColumn("n_docs", F.coalesce("n_docs", F.lit(0)))
-    rated = rated.withColumn("usual", F.percentile_approx("n_docs", 0.25, 1000).over(own)).where(F.col("n_docs") <= RARE * F.greatest("usual", F.lit(1)))
-    seeds = cut(rated.select("item_id", "words", "n_item", "size", "gram", "place"))
+    seeds = cut(item_grams(items, k))
+    sizes = sorted(r[0] for r in seeds.select("size").distinct().collect())  # 1 to k
+    longest = seeds.agg(F.max("n_item")).first()[0] or 0
     found = cut(passages(docs, bitmap(seeds), sizes, min(longest + longest // 2, 1000) + 8))
     pairs = (
         found.withColumn("hit", F.explode(F.arrays_zip("grams", "places"))).select("doc_id", "first", F.col("hit.grams").alias("gram"), F.col("hit.places").alias("at"))

@@ -164,6 +164,26 @@ def test_decontamination(spark):
     assert decontaminate.hits(frame(spark, docs), frame_items.where("false")).count() == 0
 
 
+def edited_copies(n_docs):
+    """Two test items of 38 words, and for each n_docs documents of random words around one copy: four words changed, or cut short."""
+    rng = random.Random(n_docs)
+    words = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    whole, changed = words(38), words(38)
+    items = [(1, " ".join(whole)), (2, " ".join(changed))]
+    for i in (4, 13, 22, 31):
+        changed[i] = "other"
+    copies = [whole[:25], changed]
+    return items, [(i, " ".join(words(40) + copies[i % 2] + words(40))) for i in range(2 * n_docs)]
+
+
+@pytest.mark.parametrize("n_docs", [5, 50, 500])
+def test_decontamination_of_one_edited_copy_in_many_documents(spark, n_docs):
+    items, docs = edited_copies(n_docs)
+    plain = [(10**6 + i, t) for i, t in enumerate(family(12, 20, 100, 5))]
+    found = decontaminate.hits(frame(spark, docs + plain), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, 1 + i % 2) for i, _ in docs}
+
+
 def test_alignment():
     rng = random.Random(8)
     for _ in range(60):
