@@ -9,7 +9,7 @@ import corpus_pipeline
 from tessera.llm import decontaminate, queries, secret_scan, sentencepiece_codec, toxicity
 from tessera.llm.common import table
 
-from .test_corpus_operators import brute_components
+from .test_corpus_operators import brute_components, edited_copies
 
 
 def plain_mask(s):
@@ -54,3 +54,10 @@ def test_stages_keep_columns_and_clean_rows(spark, sf_dir, name, stage):
         kept = {r.doc_id: r for r in out.collect()}
         assert "04db" not in kept[4].text and kept[4].n_chars == len(kept[4].text) and kept[1].n_chars == 38 and kept[2].text is None
     assert stage(spark, docs.where("false"), sf_dir).count() == 0
+
+
+def test_stage_drops_one_edited_copy_in_many_documents(spark, tmp_path):
+    items, docs = edited_copies(50)
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.drop_benchmark_copies(spark, spark.createDataFrame([*docs, (1000, "clean text")], "doc_id long, text string"), str(tmp_path))
+    assert [r.doc_id for r in out.collect()] == [1000]
