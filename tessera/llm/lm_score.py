@@ -1,21 +1,24 @@
-"""Language-model scoring with two n-gram tries over word classes and over the bytes of rare words.
-
-Words that make up at least 1 / CLASSES of all training tokens are classes of their own, all others share the class of
-rare words; an end closes each text. A trie of class trigrams gives P(class | two classes before it). A rare word that
-was seen c times has P(w | rare) = (c - D(c)) / N, with N uses of rare words in training and one discount each for
-words seen once, twice and more often (from the counts of counts); what the discounts free is the chance of a word that
-was never seen, one event as in base_score. So the chances of all sequences of known words and unknown ones sum to one,
-but for quantisation. spelled_score goes further and multiplies an unknown word's chance by that of its spelling, from
-a trie of byte trigrams counted over the rare words (each once), which makes it a distribution over all texts.
-
-Both tries have at most 258 ** 3 n-grams, whatever the corpus; they are built from counts over all training texts and
-mapped by each worker. Word counts are not held in one place: texts are dealt into blocks of about BLOCK bytes, each
-block asks for the counts of its own distinct words by one shuffle on the word, and is scored with the answer. A block's
-words and answers are what a task holds.
+"""Language-model scoring with a trie of all word trigrams, and with a trie of the bytes of words.
+
+A word that was seen c times among N training tokens (an end closes each text) has P(w) = (c - D(c)) / N, with one
+discount each for words seen once, twice and more often (from the counts of counts); what the discounts free is the
+chance of a word that was never seen, one event as in base_score. P(w | b) and P(w | a, b) interpolate the counts of
+all word pairs and triples of the training texts with the next shorter context; none is dropped. A context (a, b) gives
+it the weight of the kinds of words seen behind it (Witten-Bell); a word b, of its uses to the power HEAPS, about the
+kinds of words behind it. So the chances of all sequences of known words and unknown ones sum to one. spelled_score
+goes further and multiplies an unknown word's chance by that of its spelling, from a trie of byte trigrams counted over
+the training words (each once), which makes it a distribution over all texts.
+
+Neither word counts nor n-grams are held in one place. Texts are dealt into blocks of about BLOCK bytes. Each block asks
+for the counts of its own distinct words by one shuffle on the word, and sends its distinct trigrams, counted, to as
+many parts as there are blocks, by the hash of the context. A part builds its own mapped Elias-Fano trie and answers
+each block in the order that it asked in. So a block's texts, words and answers, or one part of all n-grams, are what a
+task holds. N-grams are known by hashes: 64 bits of the context, WORD_BITS more of the word. The trie of bytes has at
+most 258 ** 3 n-grams and is sent to all workers.
 
 Defined cases: a null or empty text is one end token; a row with a null doc_id is scored and never learned from, its
 held_out is false; without training texts every count is 0 (base_score then adds log10(0.1 / 0.1) = 0 for each token)
-and the tries are uniform; repeated rows each count and are each scored; other columns are not read.
+the trie of bytes is uniform, and an end and an unknown word have a chance of 1/2; repeated rows each count and are each scored; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,18 +28,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_bytes, crc_mod, cut, slices, small_batches
-from .ngram_trie import ALPHABET, Trie
+from .common import Pack, Roller, as_bytes, crc_mod, cut, mix, packs, slices, small_batches
+from .ngram_trie import ALPHABET, Trie, WordTrie, fresh
 
 BLOCK = 24 << 20
 LEAST_BLOCK = 1 << 20
-CLASSES = 255  # 1 to 255; 0 is the class of rare words
 END, START = 256, 257
-SYMBOLS = 257  # rare, classes or bytes, end
+SYMBOLS = 257  # bytes, end
+HEAPS = 0.8
+WORD_BITS = 48
+EDGES = np.array([0x9E6C63D0876A9A47, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7], np.uint64)  # in place of words: start, end, behind the end
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, spelled_score double"
 
 
@@ -92,6 +98,102 @@ def discounts(seen: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.1), k - 0.1) for k, d in zip((1, 2, 3), raw))
 
 
+def _ngrams(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(context, word) of the words of texts that lie end to end, of the end of each text, and of what stands behind it."""
+    n = sizes + 2
+    first = np.concatenate(([0], np.cumsum(n)))[:-1]
+    c = np.empty(int(n.sum()), np.uint64)
+    inner = np.ones(len(c), bool)
+    c[first + sizes], c[first + sizes + 1] = EDGES[1], EDGES[2]
+    inner[first + sizes] = inner[first + sizes + 1] = False
+    c[inner] = hashes
+    b = np.concatenate((EDGES[:1], c[:-1]))
+    b[first] = EDGES[0]
+    a = np.concatenate((EDGES[:1], b[:-1]))
+    a[first] = EDGES[0]
+    return mix(mix(a) * np.uint64(0x9E3779B97F4A7C15) + b), c >> np.uint64(64 - WORD_BITS)
+
+
+def _part(context: np.ndarray, n_parts: int) -> np.ndarray:
+    """Parts are ranges of contexts."""
+    return ((context >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _squeeze(x: np.ndarray, width: int) -> bytes:
+    """Whole numbers of width bytes, least byte of all first, compressed."""
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return len(x).to_bytes(4, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _expand(raw: bytes, width: int) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(raw[4:], n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.reshape(-1).view("<u8")
+
+
+def _blobs(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i < 2 else pa.binary()) for i, c in enumerate(columns)], names=names)
+
+
+def block_ngrams(blocks: DataFrame, n_parts: int) -> DataFrame:
+    """(block, part, contexts, sizes, words, n): each block's distinct trigrams, with their uses in the block's training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roller, held = Roller(), {}
+        for batch in slices(batches, 512):
+            owners, train = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            for first, pack in packs(as_bytes(batch.column(2)), roller):
+                n = len(pack.counts)
+                context, word = _ngrams(roller.spans(pack.sums, pack.starts, pack.ends), pack.counts)
+                used, owner = np.repeat(train[first : first + n], pack.counts + 2), np.repeat(owners[first : first + n], pack.counts + 2)
+                for block in np.unique(owner).tolist():
+                    go = owner == block
+                    held.setdefault(block, []).append((context[go], word[go], used[go]))
+        for block in list(held):
+            context, word, used = (np.concatenate(x) for x in zip(*held.pop(block)))
+            order = np.lexsort((word, context))
+            context, word, used = context[order], word[order], used[order].astype(np.int64)
+            first = np.flatnonzero(fresh(context, word))
+            n, context, word = np.add.reduceat(used, first), context[first], word[first]
+            cuts = np.searchsorted(_part(context, n_parts), np.arange(n_parts + 1))
+            for part, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+                if a < b:
+                    start = np.flatnonzero(fresh(context[a:b]))
+                    keys = context[a:b][start]
+                    row = (block, part, _squeeze(np.diff(keys, prepend=np.uint64(0)), 8), _squeeze(np.diff(np.append(start, b - a)), 4), _squeeze(word[a:b], WORD_BITS // 8), _squeeze(n[a:b], 4))
+                    yield _blobs([row], ["block", "part", "contexts", "sizes", "words", "n"])
+
+    return blocks.select("block", "train", "text").mapInArrow(run, "block int, part int, contexts binary, sizes binary, words binary, n binary")
+
+
+def answers(asked: DataFrame) -> DataFrame:
+    """(block, part, uses, kinds, n) for each row of block_ngrams, by the trie of its part; a part's rows lie in one partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[tuple]] = {}
+        for batch in slices(batches, 512):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                parts.setdefault(row[1], []).append(row)
+        for part in list(parts):
+            rows = parts.pop(part)
+            entries = []
+            for _, _, contexts, sizes, words, n in rows:
+                n = _expand(n, 4).astype(np.int64)
+                go = n > 0
+                entries.append((np.repeat(np.cumsum(_expand(contexts, 8), dtype=np.uint64), _expand(sizes, 4).astype(np.int64))[go], _expand(words, WORD_BITS // 8)[go], n[go]))
+            raw = WordTrie.build(*(np.concatenate(x) for x in zip(*entries)))
+            del entries
+            trie = WordTrie(raw)
+            del raw
+            for block, _, contexts, sizes, words, _ in rows:
+                found = trie.find(np.cumsum(_expand(contexts, 8), dtype=np.uint64), _expand(sizes, 4).astype(np.int64), _expand(words, WORD_BITS // 8))
+                yield _blobs([(block, part, *(_squeeze(x, 5) for x in found))], ["block", "part", "uses", "kinds", "n"])
+
+    return asked.mapInArrow(run, "block int, part int, uses binary, kinds binary, n binary")
+
+
 def block_words(blocks: DataFrame) -> DataFrame:
     """(block, word, n) of each block's distinct words, with their uses in the block's training texts."""
 
@@ -129,62 +231,90 @@ def score(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
     once = vocabulary.where("first and c > 0")
     tokens, types = once.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     tokens, types = tokens + ends, types + (ends > 0)
-    common = {bytes(w): k for k, (w,) in enumerate(once.where(F.col("c") * (CLASSES + 1) >= tokens).orderBy(F.desc("c"), "word").limit(CLASSES).select("word").collect(), 1)}
-    rare = once.where(~F.col("word").isin(list(common)))
-    rare_tokens, rare_types, *seen = rare.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), *(F.count_if(F.col("c") == k) for k in (1, 2, 3, 4))).first()
+    words, *seen = once.agg(F.coalesce(F.sum("c"), F.lit(0)), *(F.count_if(F.col("c") == k) for k in (1, 2, 3, 4))).first()
     discount = discounts(seen)
-    unseen = (sum(d * n for d, n in zip(discount, (*seen[:2], rare_types - sum(seen[:2])))) or 1.0) / max(rare_tokens, 1)
-
-    def class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, get = _Sums(), common.get
-        for batch in slices(batches, 512):
-            words = [_words(raw) for raw in as_bytes(batch.column(0))]
-            symbols = np.array([get(w, 0) for text in words for w in text], np.int32)
-            sums.add(_trigrams(symbols, np.fromiter(map(len, words), np.int64, len(words))))
-        yield sums.batch()
+    freed = sum(d * n for d, n in zip(discount, (*seen[:2], types - (ends > 0) - sum(seen[:2]))))
+    whole = words + (ends or 1) + (0 if freed else 1)
+    unseen, end = (freed or 1) / whole, (ends or 1) / whole
 
     def byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums()
         for batch in slices(batches, 20_000):
-            sums.add(_trigrams(*_bytes_of([w for w in batch.column(0).to_pylist() if w not in common])))
+            sums.add(_trigrams(*_bytes_of(batch.column(0).to_pylist())))
         yield sums.batch()
 
-    by_class = _trie(docs.where("train").select("text").mapInArrow(class_counts, "code int, n long"))
     by_byte = _trie(once.select("word").mapInArrow(byte_counts, "code int, n long"))
-    sent = spark.sparkContext.broadcast((by_class, by_byte))
+    sent = spark.sparkContext.broadcast(by_byte)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        classes, letters = (Trie(raw) for raw in sent.value)
-        words = right.column("word").combine_chunks().cast(pa.binary()).to_pylist() if right.num_rows else []
+        letters, roller = Trie(sent.value), Roller()
+        is_word = pc.is_null(right.column("part"))
+        own = right.filter(is_word)
+        told = right.filter(pc.invert(is_word)).sort_by("part")
+        words = own.column("word").combine_chunks().cast(pa.binary()).to_pylist() if own.num_rows else []
         place = {w: i for i, w in enumerate(words)}
-        c = right.column("c").to_numpy().astype(float) if right.num_rows else np.zeros(0)
-        symbol = np.fromiter((common.get(w, 0) for w in words), np.int32, len(words))
-        spelled = np.zeros(len(words))
+        c = own.column("c").to_numpy().astype(float) if own.num_rows else np.zeros(0)
+        spelled, hashes = np.zeros(len(words)), np.zeros(len(words), np.uint64)
         for at in range(0, len(words), 50_000):
-            text, sizes = _bytes_of(words[at : at + 50_000])
+            some = words[at : at + 50_000]
+            pack = Pack(some, roller)
+            hashes[at : at + 50_000] = roller.spans(pack.sums, pack.starts, pack.ends)
+            text, sizes = _bytes_of(some)
             codes, back = np.unique(_trigrams(text, sizes), return_inverse=True)
             spelled[at : at + 50_000] = np.add.reduceat(letters.log10(codes.astype(np.int64))[back], np.concatenate(([0], np.cumsum(sizes + 1)))[:-1])
-        known = (c - np.choose(np.clip(c, 1, 3).astype(int) - 1, discount)) / max(rare_tokens, 1)
-        inner = np.where(symbol > 0, 0.0, np.log10(np.where(c > 0, np.maximum(known, 1e-300), unseen)))
-        spelled = np.where((symbol > 0) | (c > 0), 0.0, spelled)
+        alone = np.where(c > 0, (c - np.choose(np.clip(c, 1, 3).astype(int) - 1, discount)) / whole, unseen)
+        spelled = np.where(c > 0, 0.0, spelled)
         base = np.log10((c + 0.1) / (tokens + 0.1 * (types + 1)))
         base_end = float(np.log10((ends + 0.1) / (tokens + 0.1 * (types + 1))))
-        out = []
+        counts, places = [], []
         for batch in left.to_batches(max_chunksize=512):
             texts = [_words(raw) for raw in as_bytes(batch.column("text"))]
-            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            at = np.fromiter((place[w] for text in texts for w in text), np.int64, int(sizes.sum()))
-            codes, back = np.unique(_trigrams(symbol[at], sizes), return_inverse=True)
-            bounds = np.concatenate(([0], np.cumsum(sizes)))
-            outer = np.add.reduceat(classes.log10(codes.astype(np.int64))[back], (bounds + np.arange(len(bounds)))[:-1])
-            sums = lambda x: np.array([x[a:b].sum() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())])
-            n_known = sums((c[at] > 0).astype(np.int64)) + (ends > 0)
-            said = outer + sums(inner[at])
-            out.append((batch.column("doc_id"), batch.column("held_out"), sizes + 1, n_known, np.full(len(sizes), tokens), sums(base[at]) + base_end, said, said + sums(spelled[at])))
+            counts.append(np.fromiter(map(len, texts), np.int64, len(texts)))
+            places.append(np.fromiter((place[w] for text in texts for w in text), np.int32, int(counts[-1].sum())))
+        del place, words
+        # the block's trigrams in the order in which they were asked for
+        sizes, at = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (counts, places))
+        context, word = _ngrams(hashes[at], sizes)
+        order = np.lexsort((word, context))
+        context, word = context[order], word[order]
+        of = np.empty(len(order), np.int32)
+        of[order] = np.cumsum(fresh(context)) - 1
+        to = np.empty(len(order), np.int32)
+        to[order] = np.cumsum(fresh(context, word)) - 1
+        del context, word, order
+        uses, kinds, n = (np.concatenate([_expand(raw, 5) for raw in told.column(x).to_pylist()] or [np.zeros(0, np.uint64)]).astype(float) for x in ("uses", "kinds", "n"))
+        first = np.concatenate(([0], np.cumsum(sizes)))
+        outs = [[] for _ in range(5)]
+        for a in range(0, len(sizes), 512):
+            b = min(a + 512, len(sizes))
+            m, here = sizes[a:b], at[first[a] : first[b]]
+            g = slice(int(first[a] + 2 * a), int(first[b] + 2 * b))
+            bounds = np.concatenate(([0], np.cumsum(m + 2)))
+            inner = np.ones(int(bounds[-1]), bool)
+            inner[bounds[1:] - 1] = inner[bounds[1:] - 2] = False
+            p, before = np.full(len(inner), end), np.zeros(len(inner))
+            p[inner] = alone[here]
+            before[np.flatnonzero(inner) + 1] = c[here]
+            before[bounds[:-1]] = ends
+            two = np.append(uses[of[g]][1:], 0.0)  # of a word and the one before it: the uses of the next context
+            weight = before**HEAPS
+            p = np.where(before > 0, (two + weight * p) / np.maximum(before + weight, 1e-300), p)
+            u, k = uses[of[g]], kinds[of[g]]
+            said = np.log10(np.where(u > 0, (n[to[g]] + k * p) / np.maximum(u + k, 1e-300), p))
+            said[bounds[1:] - 1] = 0.0  # what stands behind the end
+            ends_at = np.concatenate(([0], np.cumsum(m))).tolist()
+            sums = lambda x: np.array([x[i:j].sum() for i, j in zip(ends_at[:-1], ends_at[1:])])  # noqa: E731, B023
+            total = np.add.reduceat(said, bounds[:-1])
+            for held, x in zip(outs, (m + 1, sums((c[here] > 0).astype(np.int64)) + (ends > 0), sums(base[here]) + base_end, total, total + sums(spelled[here]))):
+                held.append(x)
+        n_tokens, n_known, based, scored, spelt = (np.concatenate(x) if x else np.zeros(0) for x in outs)
+        left = left.combine_chunks()
+        out = [(left.column("doc_id").combine_chunks(), left.column("held_out").combine_chunks(), n_tokens, n_known, np.full(len(sizes), tokens), based, scored, spelt)] if left.num_rows else []
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         return pa.table({name: pa.chunked_array([x[i].cast(t) if isinstance(x[i], pa.Array) else pa.array(x[i], t) for x in out], t) for i, (name, t) in enumerate(zip(names, kinds))})
 
     left = blocks.select("block", "doc_id", "held_out", "text").repartitionById(n_blocks, F.col("block"))
-    right = vocabulary.select("block", "word", "c").repartitionById(n_blocks, F.col("block"))
+    asked = block_ngrams(blocks.repartitionById(n_blocks, F.col("block")), n_blocks).repartitionById(n_blocks, F.col("part"))
+    right = vocabulary.select("block", "word", "c").unionByName(answers(asked), allowMissingColumns=True).repartitionById(n_blocks, F.col("block"))
     return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, SCHEMA)

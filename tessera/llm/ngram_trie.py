@@ -65,6 +65,86 @@ def quantise(log10: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-log10 / STEP), 0, 65535).astype(np.uint16)
 
 
+def written(parts: dict[str, np.ndarray]) -> bytes:
+    """Named arrays in one block of bytes."""
+    head, body, at = [], [], 0
+    for name, array in parts.items():
+        raw = array.tobytes()
+        raw += b"\0" * (-len(raw) % 8)
+        head.append(f"{name} {array.dtype.str} {len(array)} {at}")
+        body.append(raw)
+        at += len(raw)
+    text = "\n".join(head).encode()
+    text += b" " * (-len(text) % 8)
+    return b"".join((len(text).to_bytes(8, "little"), text, *body))
+
+
+def mapped(raw: bytes) -> dict[str, np.ndarray]:
+    """The arrays of written().
+
+    The bytes go to an unnamed file and are mapped: the system may page them out, and nothing is left behind.
+    """
+    with tempfile.TemporaryFile() as f:
+        f.write(raw)
+        f.flush()
+        held = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    size = int.from_bytes(held[:8], "little")
+    parts = {}
+    for line in held[8 : 8 + size].decode().split("\n"):
+        name, kind, n, at = line.split()
+        parts[name] = np.frombuffer(held, np.dtype(kind), int(n), 8 + size + int(at))
+    return parts
+
+
+class WordTrie:
+    """Counts of the n-grams of one part of all contexts: a level of contexts, a level of the words behind them.
+
+    Contexts and words are hashes; where the words behind a context start is kept in Elias-Fano form.
+    """
+
+    @staticmethod
+    def build(context: np.ndarray, word: np.ndarray, n: np.ndarray) -> bytes:
+        """From entries in any order; equal ones are added."""
+        order = np.lexsort((word, context))
+        context, word, n = context[order], word[order], n[order]
+        first = np.flatnonzero(fresh(context, word))
+        n = np.add.reduceat(n, first) if len(first) else n
+        context, word = context[first], word[first]
+        start = np.flatnonzero(fresh(context))
+        uses = np.add.reduceat(n, start) if len(start) else n
+        starts = Monotone.pack(np.concatenate((start, [len(word)])).astype(np.int64))
+        return written({"context": context[start], "uses": uses, "word": word, "n": n} | {f"ptr.{k}": v for k, v in starts.items()})
+
+    def __init__(self, raw: bytes) -> None:
+        parts = mapped(raw)
+        self.context, self.uses, self.word, self.n = (parts[x] for x in ("context", "uses", "word", "n"))
+        self.starts = Monotone(*(parts[f"ptr.{x}"] for x in ("low", "lows", "unary", "counts")))
+
+    def find(self, context: np.ndarray, sizes: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Uses of contexts, how many kinds of words stand behind them, and the counts of the sizes words asked for behind each."""
+        if not len(self.context):
+            return np.zeros(len(context), np.int64), np.zeros(len(context), np.int64), np.zeros(len(word), np.int64)
+        node = np.minimum(np.searchsorted(self.context, context), len(self.context) - 1)
+        known = self.context[node] == context
+        lo, end = self.starts.at(node), self.starts.at(node + 1)
+        uses, kinds = np.where(known, self.uses[node], 0), np.where(known, end - lo, 0)
+        known, lo, end = (np.repeat(x, sizes) for x in (known, lo, end))
+        hi = end
+        while (open_ := lo < hi).any():
+            mid = (lo + hi) >> 1
+            less = open_ & (self.word[np.minimum(mid, len(self.word) - 1)] < word)
+            lo, hi = np.where(less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
+        at = np.minimum(lo, len(self.word) - 1)
+        return uses, kinds, np.where(known & (lo < end) & (self.word[at] == word), self.n[at], 0)
+
+
+def fresh(*columns: np.ndarray) -> np.ndarray:
+    """Where a row of sorted columns is unlike the one before it."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.any([x[1:] != x[:-1] for x in columns], axis=0)
+    return out
+
+
 class Trie:
     """P(symbol | two symbols before it), by Witten-Bell interpolation.
 
@@ -111,26 +191,10 @@ class Trie:
         starts2 = np.concatenate((np.searchsorted(of, np.arange(len(nodes))), [len(codes)]))
         for name, starts in (("ptr0", starts1), ("ptr1", starts2)):
             parts |= {f"{name}.{k}": v for k, v in Monotone.pack(starts.astype(np.int64)).items()}
-        head, body = [], b""
-        for name, array in parts.items():
-            raw = array.tobytes()
-            head.append(f"{name} {array.dtype.str} {len(array)} {len(body)}")
-            body += raw + b"\0" * (-len(raw) % 8)
-        text = "\n".join(head).encode()
-        text += b" " * (-len(text) % 8)
-        return len(text).to_bytes(8, "little") + text + body
+        return written(parts)
 
     def __init__(self, raw: bytes) -> None:
-        # the bytes go to an unnamed file and are mapped: the system may page them out, and nothing is left behind
-        with tempfile.TemporaryFile() as f:
-            f.write(raw)
-            f.flush()
-            self._map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        size = int.from_bytes(self._map[:8], "little")
-        parts = {}
-        for line in self._map[8 : 8 + size].decode().split("\n"):
-            name, kind, n, at = line.split()
-            parts[name] = np.frombuffer(self._map, np.dtype(kind), int(n), 8 + size + int(at))
+        parts = mapped(raw)
         self.prob = [parts[f"prob{k}"] for k in range(3)]
         self.back = [parts[f"back{k}"] for k in range(2)]
         self.symbol = [None, parts["sym1"], parts["sym2"]]

@@ -325,6 +325,38 @@ def test_lm_cases(spark):
     assert lm_score.score(docs.where("false")).count() == 0
 
 
+def test_lm_knows_all_word_trigrams(spark):
+    """Scores against counts of all trigrams of words that are each rare."""
+    rng = random.Random(13)
+    docs = [(i, " ".join(f"r{rng.randrange(400)}" for _ in range(rng.randrange(30)))) for i in range(300)]
+    docs += [(1000 + i, " ".join(docs[i][1].split()[::-1]) + " never seen") for i in range(20)]
+    seqs = {i: ["<", "<", *t.split(), ">"] for i, t in docs}
+    train = [s for i, s in seqs.items() if zlib.crc32(str(i).encode()) % 10]
+    one, two, three, behind = Counter(), Counter(), Counter(), defaultdict(set)
+    for s in train:
+        one.update(s[2:])
+        two.update(zip(s[1:], s[2:]))
+        for a, b, c in zip(s, s[1:], s[2:]):
+            three[a, b, c] += 1
+            behind[a, b].add(c)
+    seen = Counter(n for w, n in one.items() if w != ">")
+    d = lm_score.discounts([seen[k] for k in (1, 2, 3, 4)])
+    whole = sum(one.values())
+    unseen = sum(d[min(k, 3) - 1] * n for k, n in seen.items()) / whole
+
+    def chance(a, b, c):
+        p = one[c] / whole if c == ">" else (one[c] - d[min(one[c], 3) - 1]) / whole if one[c] else unseen
+        used = len(train) if b == "<" else one[b]
+        if used:
+            p = (two[b, c] + used**lm_score.HEAPS * p) / (used + used**lm_score.HEAPS)
+        used, kinds = sum(three[a, b, x] for x in behind[a, b]), len(behind[a, b])
+        return (three[a, b, c] + kinds * p) / (used + kinds) if used else p
+
+    for r in lm_score.score(frame(spark, docs), block_bytes=9_000).collect():
+        s = seqs[r.doc_id]
+        assert r.score == pytest.approx(sum(math.log10(chance(*x)) for x in zip(s, s[1:], s[2:])))
+
+
 def test_trie():
     rng = np.random.default_rng(11)
     v = np.sort(rng.integers(0, 10**6, 3000))
