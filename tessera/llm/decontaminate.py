@@ -154,7 +154,7 @@ def hits(docs: DataFrame, items: DataFrame, k: int = K, least: float = LEAST_SCO
     seeds = cut(item_grams(items, k))
     sizes = sorted(r[0] for r in seeds.select("size").distinct().collect())  # 1 to k
     longest = seeds.agg(F.max("n_item")).first()[0] or 0
-    found = cut(passages(docs, bitmap(seeds), sizes, min(longest + longest // 2, 1000) + 8))
+    found = cut(passages(docs, bitmap(seeds), sizes, longest + longest // 2 + DRIFT))
     pairs = (
         found.withColumn("hit", F.explode(F.arrays_zip("grams", "places"))).select("doc_id", "first", F.col("hit.grams").alias("gram"), F.col("hit.places").alias("at"))
         .join(seeds.select("item_id", "gram", "place", "n_item", "size"), "gram")

@@ -184,6 +184,14 @@ def test_decontamination_of_one_edited_copy_in_many_documents(spark, n_docs):
     assert {(r.doc_id, r.item_id) for r in found} == {(i, 1 + i % 2) for i, _ in docs}
 
 
+def test_decontamination_of_a_long_item_whose_seeds_stand_together(spark):
+    """Every third word is changed but in the middle, so only the middle has seeds."""
+    item = [f"v{i}" for i in range(3000)]
+    copy = [w if i % 3 or 1480 <= i < 1520 else "other" for i, w in enumerate(item)]
+    found = decontaminate.hits(frame(spark, [(1, " ".join(copy))]), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.n_matched) for r in found] == [(1, 1, sum(a == b for a, b in zip(item, copy)))]
+
+
 def test_alignment():
     rng = random.Random(8)
     for _ in range(60):
