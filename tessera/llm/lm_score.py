@@ -1,95 +1,59 @@
-"""Language-model scoring with a trie of all word trigrams, and with a trie of the bytes of words.
+"""Language-model scoring with an Elias-Fano trie of all word trigrams.
 
 A word that was seen c times among N training tokens (an end closes each text) has P(w) = (c - D(c)) / N, with one
 discount each for words seen once, twice and more often (from the counts of counts); what the discounts free is the
-chance of a word that was never seen, one event as in base_score. P(w | b) and P(w | a, b) interpolate the counts of
-all word pairs and triples of the training texts with the next shorter context; none is dropped. A context (a, b) gives
-it the weight of the kinds of words seen behind it (Witten-Bell); a word b, of its uses to the power HEAPS, about the
-kinds of words behind it. So the chances of all sequences of known words and unknown ones sum to one. spelled_score
-goes further and multiplies an unknown word's chance by that of its spelling, from a trie of byte trigrams counted over
-the training words (each once), which makes it a distribution over all texts.
-
-Neither word counts nor n-grams are held in one place. Texts are dealt into blocks of about BLOCK bytes. Each block asks
-for the counts of its own distinct words by one shuffle on the word, and sends its distinct trigrams, counted, to as
-many parts as there are blocks, by the hash of the context. A part builds its own mapped Elias-Fano trie and answers
-each block in the order that it asked in. So a block's texts, words and answers, or one part of all n-grams, are what a
-task holds. N-grams are known by hashes: 64 bits of the context, WORD_BITS more of the word. The trie of bytes has at
-most 258 ** 3 n-grams and is sent to all workers.
+chance of a word that was never seen, one event as in base_score. P(w | b) and P(w | a, b) interpolate all word pairs
+and triples of the training texts with the next shorter context; none is dropped. A context (a, b) gives it the weight
+of the kinds of words seen behind it (Witten-Bell); a word b, of its uses to the power HEAPS, about the kinds of words
+behind it. So the chances of all sequences of known words and unknown ones sum to one, but for quantising.
+
+Neither word counts nor n-grams are held in one place. A first pass adds up word counts in parts of all word hashes and
+hands on a few sums. Texts are then dealt into blocks of about `block_bytes` bytes by the one shuffle of texts. A block
+sends its distinct words and trigrams, with their training uses, to as many parts as there are blocks, by the hash of
+the word or of the context. A part builds its own mapped Elias-Fano trie (ngram_trie.WordTrie) and answers each block in
+the order that it asked in: the counts of words, and quantised logarithms of the smoothed shares of n-grams and of the
+weights of their contexts. So a block's texts and answers, or one part of all n-grams, are what a task holds, about 20
+bytes of memory for each byte of a block; there are blocks * parts messages, so block_bytes should grow with the memory
+of executors (256 MB at 100 TB: 400,000 blocks).
+
+Words are known by 64 bits of xxh3. N-grams are known by CONTEXT_BITS of the context within its part and WORD_BITS of the
+word within its context, so that a part of any table meets a false context about once in 300,000 questions.
 
 Defined cases: a null or empty text is one end token; a row with a null doc_id is scored and never learned from, its
-held_out is false; without training texts every count is 0 (base_score then adds log10(0.1 / 0.1) = 0 for each token)
-the trie of bytes is uniform, and an end and an unknown word have a chance of 1/2; repeated rows each count and are each scored; other columns are not read.
+held_out is false; without training texts every count is 0 (base_score then adds log10(0.1 / 0.1) = 0 for each token),
+and an end and an unknown word have a chance of 1/2; repeated rows each count and are each scored; other columns are not
+read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import Pack, Roller, as_bytes, crc_mod, cut, mix, packs, slices, small_batches
-from .ngram_trie import ALPHABET, Trie, WordTrie, fresh
+from .common import as_bytes, crc_mod, mix, slices, small_batches
+from .ngram_trie import WordTrie, fresh, shares, whole_numbers
 
 BLOCK = 24 << 20
 LEAST_BLOCK = 1 << 20
-END, START = 256, 257
-SYMBOLS = 257  # bytes, end
+COUNTED = 300_000  # words that one task of the first pass adds up before it hands them on
 HEAPS = 0.8
-WORD_BITS = 48
+CONTEXT_BITS, WORD_BITS = 40, 32
 EDGES = np.array([0x9E6C63D0876A9A47, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7], np.uint64)  # in place of words: start, end, behind the end
-SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, spelled_score double"
+SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+ASKED = "block int, part int, keys binary, uses binary, contexts binary, sizes binary, words binary, n binary"
+TOLD = "block int, part int, counts binary, pairs binary, weights binary, shares binary"
 
 
 def _words(raw: bytes | None) -> list[bytes]:
     return raw.lower().split() if raw else []
 
 
-def _trigrams(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Trigram codes of sequences of symbols that lie end to end; an end is put behind each."""
-    n = sizes + 1
-    first = np.concatenate(([0], np.cumsum(n)))[:-1]
-    c = np.full(int(n.sum()), END, np.int32)
-    inner = np.ones(len(c), bool)
-    inner[first + sizes] = False
-    c[inner] = symbols
-    b = np.concatenate(([START], c[:-1])).astype(np.int32) if len(c) else c
-    b[first] = START
-    a = np.concatenate(([START], b[:-1])).astype(np.int32) if len(c) else c
-    a[first] = START
-    return (a * ALPHABET + b) * ALPHABET + c
-
-
-class _Sums:
-    """Counts of codes, kept as sorted arrays."""
-
-    def __init__(self) -> None:
-        self.codes, self.n = np.zeros(0, np.int32), np.zeros(0, np.int64)
-
-    def add(self, codes: np.ndarray) -> None:
-        fresh, n = np.unique(codes, return_counts=True)
-        merged, back = np.unique(np.concatenate((self.codes, fresh)), return_inverse=True)
-        self.codes, self.n = merged, np.bincount(back, np.concatenate((self.n, n)), len(merged)).astype(np.int64)
-
-    def batch(self) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(self.codes, pa.int32()), pa.array(self.n, pa.int64())], names=["code", "n"])
-
-
-def _bytes_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(words), np.uint8).astype(np.int32), np.fromiter(map(len, words), np.int64, len(words))
-
-
-def _trie(rows: DataFrame) -> bytes:
-    """A trie of (code, n) rows; at most 258 ** 3 of them come to the driver."""
-    found = rows.groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    return Trie.build(found.column(0).to_numpy(), found.column(1).to_numpy(), SYMBOLS)
-
-
 def discounts(seen: list[int]) -> tuple[float, float, float]:
     """Discounts for words seen once, twice and three times or more, from how many words were seen 1, 2, 3 and 4 times."""
     n1, n2, n3, n4 = seen
@@ -98,25 +62,55 @@ def discounts(seen: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.1), k - 0.1) for k, d in zip((1, 2, 3), raw))
 
 
-def _ngrams(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(context, word) of the words of texts that lie end to end, of the end of each text, and of what stands behind it."""
-    n = sizes + 2
-    first = np.concatenate(([0], np.cumsum(n)))[:-1]
-    c = np.empty(int(n.sum()), np.uint64)
-    inner = np.ones(len(c), bool)
-    c[first + sizes], c[first + sizes + 1] = EDGES[1], EDGES[2]
-    inner[first + sizes] = inner[first + sizes + 1] = False
-    c[inner] = hashes
-    b = np.concatenate((EDGES[:1], c[:-1]))
-    b[first] = EDGES[0]
-    a = np.concatenate((EDGES[:1], b[:-1]))
-    a[first] = EDGES[0]
-    return mix(mix(a) * np.uint64(0x9E3779B97F4A7C15) + b), c >> np.uint64(64 - WORD_BITS)
+class Block:
+    """Some texts as numbers of their words, and what is to be asked about them.
 
+    keys: hashes of the distinct words in order. at: place of each token's word there. sizes: words of each text.
+    """
 
-def _part(context: np.ndarray, n_parts: int) -> np.ndarray:
-    """Parts are ranges of contexts."""
-    return ((context >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)
+    def __init__(self) -> None:
+        self.seen: defaultdict[bytes, int] = defaultdict()
+        self.seen.default_factory = self.seen.__len__
+        self.lengths: list[int] = []
+        self.runs: list[np.ndarray] = []
+
+    def add(self, raws: list[bytes | None]) -> None:
+        for raw in raws:
+            words = _words(raw)
+            self.lengths.append(len(words))
+            self.runs.append(np.fromiter(map(self.seen.__getitem__, words), np.int32, len(words)))
+
+    def close(self) -> None:
+        """To be called once, behind the last add()."""
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.seen), np.uint64, len(self.seen))
+        self.keys, back = np.unique(hashes, return_inverse=True)
+        self.at = back.astype(np.int32)[np.concatenate(self.runs)] if self.runs else np.zeros(0, np.int32)
+        self.sizes = np.array(self.lengths, np.int64)
+        del self.seen, self.runs, self.lengths
+
+    def ngrams(self, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """(context, word) at the words of each text, at its end, and at what stands behind it; a context starts with its part."""
+        n = self.sizes + 2
+        first = np.concatenate(([0], np.cumsum(n)))[:-1]
+        c = np.empty(int(n.sum()), np.uint64)
+        inner = np.ones(len(c), bool)
+        c[first + self.sizes], c[first + self.sizes + 1] = EDGES[1], EDGES[2]
+        inner[first + self.sizes] = inner[first + self.sizes + 1] = False
+        c[inner] = self.keys[self.at]
+        del inner
+        b = np.concatenate((EDGES[:1], c[:-1]))
+        b[first] = EDGES[0]
+        a = np.concatenate((EDGES[:1], b[:-1]))
+        a[first] = EDGES[0]
+        a = mix(mix(a) * np.uint64(0x9E3779B97F4A7C15) + b)
+        del b
+        context = (_part(a, n_parts) << np.uint64(CONTEXT_BITS)) | (a & np.uint64((1 << CONTEXT_BITS) - 1))
+        return context, (c >> np.uint64(64 - WORD_BITS)).astype(np.uint32)
+
+
+def _part(h: np.ndarray, n_parts: int) -> np.ndarray:
+    """Parts are ranges of hashes."""
+    return (h >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)
 
 
 def _squeeze(x: np.ndarray, width: int) -> bytes:
@@ -132,85 +126,139 @@ def _expand(raw: bytes, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def _blobs(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+def _rising(x: np.ndarray, width: int) -> bytes:
+    """Numbers in rising order, as their differences."""
+    return _squeeze(np.diff(x, prepend=np.uint64(0)), width)
+
+
+def _risen(raw: bytes, width: int) -> np.ndarray:
+    return np.cumsum(_expand(raw, width), dtype=np.uint64)
+
+
+def _blobs(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")))
     columns = list(zip(*rows)) or [[]] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i < 2 else pa.binary()) for i, c in enumerate(columns)], names=names)
+    of = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(c, of[k]) for c, k in zip(columns, kinds)], names=list(names))
+
 
+def _bounds(parts: np.ndarray, n_parts: int) -> list[int]:
+    return np.searchsorted(parts, np.arange(n_parts + 1)).tolist()
 
-def block_ngrams(blocks: DataFrame, n_parts: int) -> DataFrame:
-    """(block, part, contexts, sizes, words, n): each block's distinct trigrams, with their uses in the block's training texts."""
+
+def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their n."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(fresh(keys))
+    return keys[first], np.add.reduceat(n[order], first) if len(first) else n
+
+
+def word_sums(docs: DataFrame, n_parts: int) -> tuple[int, int, list[int]]:
+    """(uses of all words, distinct words, how many were used 1, 2, 3 and 4 times) of docs(text)."""
+    counted = "part int, keys binary, n binary"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: Counter = Counter()
+
+        def held() -> Iterator[pa.RecordBatch]:
+            keys, n = _added(np.fromiter(map(xxhash.xxh3_64_intdigest, sums), np.uint64, len(sums)), np.fromiter(sums.values(), np.int64, len(sums)))
+            cuts = _bounds(_part(keys, n_parts), n_parts)
+            for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+                if a < b:
+                    yield _blobs([(part, _rising(keys[a:b], 8), _squeeze(n[a:b], 5))], counted)
+            sums.clear()
+
+        for batch in slices(batches, 512):
+            for raw in as_bytes(batch.column(0)):
+                sums.update(_words(raw))
+                if len(sums) >= COUNTED:
+                    yield from held()
+        yield from held()
+
+    totals = "uses long, kinds long, n1 long, n2 long, n3 long, n4 long"
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for batch in batches:
+            for part, keys, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                held.setdefault(part, []).append((_risen(keys, 8), _expand(n, 5).astype(np.int64)))
+                if len(held[part]) >= 16:
+                    held[part] = [_added(*(np.concatenate(x) for x in zip(*held[part])))]
+        for part in list(held):
+            _, n = _added(*(np.concatenate(x) for x in zip(*held.pop(part))))
+            yield _blobs([(int(n.sum()), len(n), *(int((n == k).sum()) for k in (1, 2, 3, 4)))], totals)
+
+    parts = docs.select("text").mapInArrow(count, counted).repartitionById(n_parts, F.col("part")).mapInArrow(add, totals)
+    uses, kinds, *seen = parts.agg(*(F.coalesce(F.sum(x.split()[0]), F.lit(0)) for x in totals.split(", "))).first()
+    return uses, kinds, seen
+
+
+def questions(blocks: DataFrame, n_parts: int) -> DataFrame:
+    """ASKED: each block's distinct words and trigrams, with their uses in the block's training texts, for each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, held = Roller(), {}
+        held: dict[int, tuple[Block, list[np.ndarray]]] = {}
         for batch in slices(batches, 512):
-            owners, train = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            for first, pack in packs(as_bytes(batch.column(2)), roller):
-                n = len(pack.counts)
-                context, word = _ngrams(roller.spans(pack.sums, pack.starts, pack.ends), pack.counts)
-                used, owner = np.repeat(train[first : first + n], pack.counts + 2), np.repeat(owners[first : first + n], pack.counts + 2)
-                for block in np.unique(owner).tolist():
-                    go = owner == block
-                    held.setdefault(block, []).append((context[go], word[go], used[go]))
-        for block in list(held):
-            context, word, used = (np.concatenate(x) for x in zip(*held.pop(block)))
+            owner, train, raws = batch.column(0).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False), as_bytes(batch.column(4))
+            for i in np.unique(owner).tolist():
+                rows = np.flatnonzero(owner == i)
+                block, used = held.setdefault(i, (Block(), []))
+                block.add([raws[k] for k in rows])
+                used.append(train[rows])
+        for i in list(held):
+            block, used = held.pop(i)
+            block.close()
+            used = np.concatenate(used)
+            uses = np.bincount(block.at, np.repeat(used, block.sizes), len(block.keys)).astype(np.int64)
+            context, word = block.ngrams(n_parts)
             order = np.lexsort((word, context))
-            context, word, used = context[order], word[order], used[order].astype(np.int64)
+            context, word = context[order], word[order]
             first = np.flatnonzero(fresh(context, word))
-            n, context, word = np.add.reduceat(used, first), context[first], word[first]
-            cuts = np.searchsorted(_part(context, n_parts), np.arange(n_parts + 1))
-            for part, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-                if a < b:
-                    start = np.flatnonzero(fresh(context[a:b]))
-                    keys = context[a:b][start]
-                    row = (block, part, _squeeze(np.diff(keys, prepend=np.uint64(0)), 8), _squeeze(np.diff(np.append(start, b - a)), 4), _squeeze(word[a:b], WORD_BITS // 8), _squeeze(n[a:b], 4))
-                    yield _blobs([row], ["block", "part", "contexts", "sizes", "words", "n"])
+            n = np.add.reduceat(np.repeat(used, block.sizes + 2)[order].astype(np.int64), first)
+            del order
+            context, word = context[first], word[first]
+            of_words, of_ngrams = _bounds(_part(block.keys, n_parts), n_parts), _bounds(context >> np.uint64(CONTEXT_BITS), n_parts)
+            for part in range(n_parts):
+                a, b, c, d = *of_words[part : part + 2], *of_ngrams[part : part + 2]
+                if a < b or c < d:
+                    start = np.flatnonzero(fresh(context[c:d]))
+                    inner = context[c:d][start] & np.uint64((1 << CONTEXT_BITS) - 1)
+                    row = (i, part, _rising(block.keys[a:b], 8), _squeeze(uses[a:b], 5), _rising(inner, 5), _squeeze(np.diff(np.append(start, d - c)), 4), _squeeze(word[c:d], 4), _squeeze(n[c:d], 4))
+                    yield _blobs([row], ASKED)
+
+    return blocks.select(*BLOCK_COLUMNS).mapInArrow(run, ASKED)
 
-    return blocks.select("block", "train", "text").mapInArrow(run, "block int, part int, contexts binary, sizes binary, words binary, n binary")
+
+BLOCK_COLUMNS = ("block", "doc_id", "held_out", "train", "text")  # all of them everywhere, so that one shuffle of texts serves both uses
 
 
 def answers(asked: DataFrame) -> DataFrame:
-    """(block, part, uses, kinds, n) for each row of block_ngrams, by the trie of its part; a part's rows lie in one partition."""
+    """TOLD for each row of questions(), by the trie of its part; a part's rows lie in one partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[tuple]] = {}
         for batch in slices(batches, 512):
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(8))):
                 parts.setdefault(row[1], []).append(row)
         for part in list(parts):
             rows = parts.pop(part)
+            known, total = _added(*(np.concatenate(x) for x in zip(*((_risen(r[2], 8), _expand(r[3], 5).astype(np.int64)) for r in rows))))
             entries = []
-            for _, _, contexts, sizes, words, n in rows:
+            for *_, contexts, sizes, words, n in rows:
                 n = _expand(n, 4).astype(np.int64)
                 go = n > 0
-                entries.append((np.repeat(np.cumsum(_expand(contexts, 8), dtype=np.uint64), _expand(sizes, 4).astype(np.int64))[go], _expand(words, WORD_BITS // 8)[go], n[go]))
+                entries.append((np.repeat(_risen(contexts, 5), _expand(sizes, 4).astype(np.int64))[go], _expand(words, 4).astype(np.uint32)[go], n[go]))
             raw = WordTrie.build(*(np.concatenate(x) for x in zip(*entries)))
             del entries
             trie = WordTrie(raw)
             del raw
-            for block, _, contexts, sizes, words, _ in rows:
-                found = trie.find(np.cumsum(_expand(contexts, 8), dtype=np.uint64), _expand(sizes, 4).astype(np.int64), _expand(words, WORD_BITS // 8))
-                yield _blobs([(block, part, *(_squeeze(x, 5) for x in found))], ["block", "part", "uses", "kinds", "n"])
-
-    return asked.mapInArrow(run, "block int, part int, uses binary, kinds binary, n binary")
+            for block, _, keys, _, contexts, sizes, words, _ in rows:
+                counts = total[np.searchsorted(known, _risen(keys, 8))] if len(known) else np.zeros(0, np.int64)
+                found = trie.find(_risen(contexts, 5), _expand(sizes, 4).astype(np.int64), _expand(words, 4).astype(np.uint32))
+                yield _blobs([(block, part, _squeeze(counts, 5), *(_squeeze(x, 2) for x in found))], TOLD)
 
-
-def block_words(blocks: DataFrame) -> DataFrame:
-    """(block, word, n) of each block's distinct words, with their uses in the block's training texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, tuple[Counter, set]] = {}
-        for batch in slices(batches, 512):
-            for block, train, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))):
-                sums.setdefault(block, (Counter(), set()))[not train].update(_words(raw))
-        for block, (n, other) in sums.items():
-            for w in other - n.keys():
-                n[w] = 0
-            words, counts = list(n), list(n.values())
-            for at in range(0, len(words), 50_000):
-                w = words[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), block, np.int32)), pa.array(w, pa.binary()), pa.array(counts[at : at + 50_000], pa.int64())], names=["block", "word", "n"])
-
-    return blocks.select("block", "train", "text").mapInArrow(run, "block int, word binary, n long")
+    return asked.mapInArrow(run, TOLD)
 
 
 def score(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
@@ -222,59 +270,30 @@ def score(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
     size, ends = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("train")).first()
     # as many blocks as there are shuffle partitions if these are smaller then, each in a task of its own
     n_blocks = max(1, -(-size // block_bytes), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // LEAST_BLOCK)))
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block")
-    blocks = docs.select("*", block)
-
-    own = Window.partitionBy("word")
-    counted = block_words(blocks.repartitionById(n_blocks, F.col("block")))
-    vocabulary = cut(counted.select("block", "word", F.sum("n").over(own).alias("c"), (F.min("block").over(own) == F.col("block")).alias("first")))
-    once = vocabulary.where("first and c > 0")
-    tokens, types = once.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    tokens, types = tokens + ends, types + (ends > 0)
-    words, *seen = once.agg(F.coalesce(F.sum("c"), F.lit(0)), *(F.count_if(F.col("c") == k) for k in (1, 2, 3, 4))).first()
+    words, types, seen = word_sums(docs.where("train"), n_blocks)
+    tokens = words + ends
+    vocabulary = types + (ends > 0)
     discount = discounts(seen)
-    freed = sum(d * n for d, n in zip(discount, (*seen[:2], types - (ends > 0) - sum(seen[:2]))))
+    freed = sum(d * n for d, n in zip(discount, (*seen[:2], types - sum(seen[:2]))))
     whole = words + (ends or 1) + (0 if freed else 1)
     unseen, end = (freed or 1) / whole, (ends or 1) / whole
-
-    def byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums()
-        for batch in slices(batches, 20_000):
-            sums.add(_trigrams(*_bytes_of(batch.column(0).to_pylist())))
-        yield sums.batch()
-
-    by_byte = _trie(once.select("word").mapInArrow(byte_counts, "code int, n long"))
-    sent = spark.sparkContext.broadcast(by_byte)
+    base_of = lambda c: np.log10((c + 0.1) / (tokens + 0.1 * (vocabulary + 1)))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        letters, roller = Trie(sent.value), Roller()
-        is_word = pc.is_null(right.column("part"))
-        own = right.filter(is_word)
-        told = right.filter(pc.invert(is_word)).sort_by("part")
-        words = own.column("word").combine_chunks().cast(pa.binary()).to_pylist() if own.num_rows else []
-        place = {w: i for i, w in enumerate(words)}
-        c = own.column("c").to_numpy().astype(float) if own.num_rows else np.zeros(0)
-        spelled, hashes = np.zeros(len(words)), np.zeros(len(words), np.uint64)
-        for at in range(0, len(words), 50_000):
-            some = words[at : at + 50_000]
-            pack = Pack(some, roller)
-            hashes[at : at + 50_000] = roller.spans(pack.sums, pack.starts, pack.ends)
-            text, sizes = _bytes_of(some)
-            codes, back = np.unique(_trigrams(text, sizes), return_inverse=True)
-            spelled[at : at + 50_000] = np.add.reduceat(letters.log10(codes.astype(np.int64))[back], np.concatenate(([0], np.cumsum(sizes + 1)))[:-1])
-        alone = np.where(c > 0, (c - np.choose(np.clip(c, 1, 3).astype(int) - 1, discount)) / whole, unseen)
-        spelled = np.where(c > 0, 0.0, spelled)
-        base = np.log10((c + 0.1) / (tokens + 0.1 * (types + 1)))
-        base_end = float(np.log10((ends + 0.1) / (tokens + 0.1 * (types + 1))))
-        counts, places = [], []
+        names, kinds = zip(*(x.split() for x in SCHEMA.split(", ")))
+        kinds = [{"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[k] for k in kinds]
+        block = Block()
         for batch in left.to_batches(max_chunksize=512):
-            texts = [_words(raw) for raw in as_bytes(batch.column("text"))]
-            counts.append(np.fromiter(map(len, texts), np.int64, len(texts)))
-            places.append(np.fromiter((place[w] for text in texts for w in text), np.int32, int(counts[-1].sum())))
-        del place, words
+            block.add(as_bytes(batch.column("text")))
+        block.close()
+        right = right.sort_by("part")
+        told = lambda name, width: np.concatenate([_expand(raw, width) for raw in right.column(name).to_pylist()] or [np.zeros(0, np.uint64)])
+        c = told("counts", 5).astype(float)
+        pairs, weights, share = whole_numbers(told("pairs", 2)), shares(told("weights", 2)), shares(told("shares", 2))
+        alone = np.where(c > 0, (c - np.choose(np.clip(c, 1, 3).astype(int) - 1, discount)) / whole, unseen)
+        base, base_end = base_of(c), float(base_of(ends))
         # the block's trigrams in the order in which they were asked for
-        sizes, at = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (counts, places))
-        context, word = _ngrams(hashes[at], sizes)
+        context, word = block.ngrams(n_blocks)
         order = np.lexsort((word, context))
         context, word = context[order], word[order]
         of = np.empty(len(order), np.int32)
@@ -282,12 +301,12 @@ def score(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
         to = np.empty(len(order), np.int32)
         to[order] = np.cumsum(fresh(context, word)) - 1
         del context, word, order
-        uses, kinds, n = (np.concatenate([_expand(raw, 5) for raw in told.column(x).to_pylist()] or [np.zeros(0, np.uint64)]).astype(float) for x in ("uses", "kinds", "n"))
+        sizes = block.sizes
         first = np.concatenate(([0], np.cumsum(sizes)))
-        outs = [[] for _ in range(5)]
+        outs: list[list[np.ndarray]] = [[] for _ in range(4)]
         for a in range(0, len(sizes), 512):
             b = min(a + 512, len(sizes))
-            m, here = sizes[a:b], at[first[a] : first[b]]
+            m, here = sizes[a:b], block.at[first[a] : first[b]]
             g = slice(int(first[a] + 2 * a), int(first[b] + 2 * b))
             bounds = np.concatenate(([0], np.cumsum(m + 2)))
             inner = np.ones(int(bounds[-1]), bool)
@@ -296,25 +315,21 @@ def score(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
             p[inner] = alone[here]
             before[np.flatnonzero(inner) + 1] = c[here]
             before[bounds[:-1]] = ends
-            two = np.append(uses[of[g]][1:], 0.0)  # of a word and the one before it: the uses of the next context
+            two = np.append(pairs[of[g]][1:], 0.0)  # of a word and the one before it: the uses of the next context
             weight = before**HEAPS
             p = np.where(before > 0, (two + weight * p) / np.maximum(before + weight, 1e-300), p)
-            u, k = uses[of[g]], kinds[of[g]]
-            said = np.log10(np.where(u > 0, (n[to[g]] + k * p) / np.maximum(u + k, 1e-300), p))
+            w = weights[of[g]]
+            said = np.log10(np.where(w > 0, share[to[g]] + w * p, p))
             said[bounds[1:] - 1] = 0.0  # what stands behind the end
             ends_at = np.concatenate(([0], np.cumsum(m))).tolist()
             sums = lambda x: np.array([x[i:j].sum() for i, j in zip(ends_at[:-1], ends_at[1:])])  # noqa: E731, B023
-            total = np.add.reduceat(said, bounds[:-1])
-            for held, x in zip(outs, (m + 1, sums((c[here] > 0).astype(np.int64)) + (ends > 0), sums(base[here]) + base_end, total, total + sums(spelled[here]))):
+            for held, x in zip(outs, (m + 1, sums((c[here] > 0).astype(np.int64)) + (ends > 0), sums(base[here]) + base_end, np.add.reduceat(said, bounds[:-1]))):
                 held.append(x)
-        n_tokens, n_known, based, scored, spelt = (np.concatenate(x) if x else np.zeros(0) for x in outs)
-        left = left.combine_chunks()
-        out = [(left.column("doc_id").combine_chunks(), left.column("held_out").combine_chunks(), n_tokens, n_known, np.full(len(sizes), tokens), based, scored, spelt)] if left.num_rows else []
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        return pa.table({name: pa.chunked_array([x[i].cast(t) if isinstance(x[i], pa.Array) else pa.array(x[i], t) for x in out], t) for i, (name, t) in enumerate(zip(names, kinds))})
-
-    left = blocks.select("block", "doc_id", "held_out", "text").repartitionById(n_blocks, F.col("block"))
-    asked = block_ngrams(blocks.repartitionById(n_blocks, F.col("block")), n_blocks).repartitionById(n_blocks, F.col("part"))
-    right = vocabulary.select("block", "word", "c").unionByName(answers(asked), allowMissingColumns=True).repartitionById(n_blocks, F.col("block"))
-    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, SCHEMA)
+        n_tokens, n_known, based, scored = (np.concatenate(x) if x else np.zeros(0) for x in outs)
+        columns = [left.column("doc_id"), left.column("held_out"), n_tokens, n_known, np.full(len(sizes), tokens), based, scored]
+        return pa.table([x.cast(k) if isinstance(x, pa.ChunkedArray) else pa.array(x.astype(k.to_pandas_dtype()), k) for x, k in zip(columns, kinds)], names=list(names))
+
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block")
+    blocks = docs.select(block, "doc_id", "held_out", "train", "text").repartitionById(n_blocks, F.col("block"))
+    told = answers(questions(blocks, n_blocks).repartitionById(n_blocks, F.col("part"))).repartitionById(n_blocks, F.col("block"))
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, SCHEMA)

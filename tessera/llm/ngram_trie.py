@@ -1,10 +1,10 @@
-"""A compact n-gram trie of order three with quantised smoothed probabilities.
+"""A compact n-gram trie with quantised smoothed probabilities.
 
-Level k lists the n-grams of length k in order, so the children of a node are one range of the next level. The starts of
-these ranges grow from node to node: they are kept in Elias-Fano form (low bits in full, high bits in unary with a
-directory of counts). Within its range a child's symbol is found by a successor search that starts at the range's
-start, so symbols are small numbers relative to their context. All levels are flat arrays in one block of bytes that
-can be mapped from a file.
+The n-grams of one part of all contexts make two levels: the contexts in order, and the words behind each, in order
+too, so the words behind a context are one range of the next level. The starts of these ranges grow from node to node:
+they are kept in Elias-Fano form (low bits in full, high bits in unary with a directory of counts). A word is found by a
+successor search that starts at its context's range. All levels are flat arrays in one block of bytes that is mapped
+from a file.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ import tempfile
 import numpy as np
 
 STEP = 1 / 3000  # of log10
-ALPHABET = 512
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.int64)
 _NTH = np.array([[([j for j in range(8) if i >> j & 1] + [8] * 8)[n] for n in range(8)] for i in range(256)], np.int64)
 
@@ -61,8 +60,19 @@ class Monotone:
         return value
 
 
-def quantise(log10: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-log10 / STEP), 0, 65535).astype(np.uint16)
+def shares(codes: np.ndarray) -> np.ndarray:
+    """The shares in (0, 1] of codes as quantise() makes them; 0 for code 0."""
+    return np.where(codes > 0, 10.0 ** (STEP * (1.0 - codes)), 0.0)
+
+
+def whole_numbers(codes: np.ndarray) -> np.ndarray:
+    """The numbers from 1 of codes as quantise() makes them of their inverses; 0 for code 0."""
+    return np.where(codes > 0, 10.0 ** (STEP * (codes - 1.0)), 0.0)
+
+
+def quantise(share: np.ndarray) -> np.ndarray:
+    """Codes from 1 of shares in (0, 1], on a scale of logarithms."""
+    return (1 + np.clip(np.rint(-np.log10(share) / STEP), 0, 65534)).astype(np.uint16)
 
 
 def written(parts: dict[str, np.ndarray]) -> bytes:
@@ -97,9 +107,10 @@ def mapped(raw: bytes) -> dict[str, np.ndarray]:
 
 
 class WordTrie:
-    """Counts of the n-grams of one part of all contexts: a level of contexts, a level of the words behind them.
+    """Smoothed shares of the n-grams of one part of all contexts, by Witten-Bell.
 
-    Contexts and words are hashes; where the words behind a context start is kept in Elias-Fano form.
+    Of a context: the code of its uses u, and of the weight k / (u + k) that it gives to the next shorter context, where
+    k kinds of words stand behind it. Of an n-gram with n uses: the code of n / (u + k).
     """
 
     @staticmethod
@@ -111,31 +122,34 @@ class WordTrie:
         n = np.add.reduceat(n, first) if len(first) else n
         context, word = context[first], word[first]
         start = np.flatnonzero(fresh(context))
+        kinds = np.diff(np.append(start, len(word)))
         uses = np.add.reduceat(n, start) if len(start) else n
-        starts = Monotone.pack(np.concatenate((start, [len(word)])).astype(np.int64))
-        return written({"context": context[start], "uses": uses, "word": word, "n": n} | {f"ptr.{k}": v for k, v in starts.items()})
+        both = (uses + kinds).astype(float)
+        starts = Monotone.pack(np.append(start, len(word)).astype(np.int64))
+        parts = {"context": context[start], "uses": quantise(1 / np.maximum(uses, 1)), "weight": quantise(kinds / both), "word": word, "share": quantise(n / np.repeat(both, kinds))}
+        return written(parts | {f"ptr.{k}": v for k, v in starts.items()})
 
     def __init__(self, raw: bytes) -> None:
         parts = mapped(raw)
-        self.context, self.uses, self.word, self.n = (parts[x] for x in ("context", "uses", "word", "n"))
+        self.context, self.uses, self.weight, self.word, self.share = (parts[x] for x in ("context", "uses", "weight", "word", "share"))
         self.starts = Monotone(*(parts[f"ptr.{x}"] for x in ("low", "lows", "unary", "counts")))
 
     def find(self, context: np.ndarray, sizes: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Uses of contexts, how many kinds of words stand behind them, and the counts of the sizes words asked for behind each."""
+        """Codes of the uses and weights of contexts, and of the shares of the sizes words asked for behind each; 0 where there is none."""
         if not len(self.context):
             return np.zeros(len(context), np.int64), np.zeros(len(context), np.int64), np.zeros(len(word), np.int64)
         node = np.minimum(np.searchsorted(self.context, context), len(self.context) - 1)
         known = self.context[node] == context
-        lo, end = self.starts.at(node), self.starts.at(node + 1)
-        uses, kinds = np.where(known, self.uses[node], 0), np.where(known, end - lo, 0)
-        known, lo, end = (np.repeat(x, sizes) for x in (known, lo, end))
+        lo, hi = self.starts.at(node), self.starts.at(node + 1)
+        uses, weight = np.where(known, self.uses[node], 0), np.where(known, self.weight[node], 0)
+        known, lo, end = (np.repeat(x, sizes) for x in (known, lo, hi))
         hi = end
         while (open_ := lo < hi).any():
             mid = (lo + hi) >> 1
             less = open_ & (self.word[np.minimum(mid, len(self.word) - 1)] < word)
             lo, hi = np.where(less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
         at = np.minimum(lo, len(self.word) - 1)
-        return uses, kinds, np.where(known & (lo < end) & (self.word[at] == word), self.n[at], 0)
+        return uses, weight, np.where(known & (lo < end) & (self.word[at] == word), self.share[at], 0)
 
 
 def fresh(*columns: np.ndarray) -> np.ndarray:
@@ -143,88 +157,3 @@ def fresh(*columns: np.ndarray) -> np.ndarray:
     out = np.ones(len(columns[0]), bool)
     out[1:] = np.any([x[1:] != x[:-1] for x in columns], axis=0)
     return out
-
-
-class Trie:
-    """P(symbol | two symbols before it), by Witten-Bell interpolation.
-
-    prob[k] holds log10 of the smoothed chance of each n-gram of length k + 1, back[k] log10 of the weight that its
-    context gives to the next shorter context.
-    """
-
-    @staticmethod
-    def build(codes: np.ndarray, counts: np.ndarray, symbols: int) -> bytes:
-        """From sorted trigram codes (a * ALPHABET + b) * ALPHABET + c with their counts."""
-        order = np.argsort(codes)
-        codes, counts = codes[order].astype(np.int64), counts[order].astype(float)
-        a, b, c = codes // ALPHABET**2, codes // ALPHABET % ALPHABET, codes % ALPHABET
-        parts: dict[str, np.ndarray] = {"symbols": np.array([symbols], np.int64)}
-        one = np.bincount(c, counts, ALPHABET)
-        types = np.count_nonzero(one)
-        p1 = (one + max(types, 1) / symbols) / (one.sum() + max(types, 1))
-        pair, back = np.unique(b * ALPHABET + c, return_inverse=True)
-        two = np.bincount(back, counts, len(pair))  # counts of (b, c) whatever stands before
-        left, right = pair // ALPHABET, pair % ALPHABET
-        total, kinds = np.bincount(left, two, ALPHABET), np.bincount(left, minlength=ALPHABET)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            back1 = np.where(total > 0, kinds / (total + kinds), 1.0)
-        p2 = (two + kinds[left] * p1[right]) / (total[left] + kinds[left])
-        # the contexts of trigrams are nodes of the second level too, if need be without a chance of their own
-        context, start = np.unique(a * ALPHABET + b, return_index=True)
-        nodes = np.union1d(pair, context)
-        own = np.full(len(nodes), np.nan)
-        own[np.searchsorted(nodes, pair)] = p2
-        none = np.isnan(own)
-        first, second = nodes // ALPHABET, nodes % ALPHABET
-        own[none] = (back1[first] * p1[second])[none]
-        sums, seen = np.zeros(len(nodes)), np.zeros(len(nodes))
-        where = np.searchsorted(nodes, context)
-        if len(codes):
-            sums[where] = np.add.reduceat(counts, start)
-            seen[where] = np.diff(np.concatenate((start, [len(codes)])))
-        back2 = np.where(sums > 0, seen / np.maximum(sums + seen, 1e-300), 1.0)
-        of = np.searchsorted(nodes, a * ALPHABET + b)
-        inner = np.searchsorted(nodes, b * ALPHABET + c)
-        p3 = (counts + seen[of] * own[inner]) / (sums[of] + seen[of])
-        parts |= {"prob0": quantise(np.log10(p1)), "back0": quantise(np.log10(back1)), "sym1": second.astype(np.uint16), "prob1": quantise(np.log10(own)), "back1": quantise(np.log10(back2)), "sym2": c.astype(np.uint16), "prob2": quantise(np.log10(p3))}
-        starts1 = np.searchsorted(first, np.arange(ALPHABET + 1))
-        starts2 = np.concatenate((np.searchsorted(of, np.arange(len(nodes))), [len(codes)]))
-        for name, starts in (("ptr0", starts1), ("ptr1", starts2)):
-            parts |= {f"{name}.{k}": v for k, v in Monotone.pack(starts.astype(np.int64)).items()}
-        return written(parts)
-
-    def __init__(self, raw: bytes) -> None:
-        parts = mapped(raw)
-        self.prob = [parts[f"prob{k}"] for k in range(3)]
-        self.back = [parts[f"back{k}"] for k in range(2)]
-        self.symbol = [None, parts["sym1"], parts["sym2"]]
-        self.starts = [Monotone(*(parts[f"ptr{k}.{x}"] for x in ("low", "lows", "unary", "counts"))) for k in range(2)]
-
-    def child(self, level: int, node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Places of the symbols among the children of the nodes of a level; -1 where there is none, or no node."""
-        known = node >= 0
-        safe = np.where(known, node, 0)
-        lo, end = self.starts[level].at(safe), self.starts[level].at(safe + 1)
-        symbols, hi = self.symbol[level + 1], end
-        while (open_ := lo < hi).any():
-            mid = (lo + hi) >> 1
-            less = open_ & (symbols[np.minimum(mid, len(symbols) - 1)] < symbol)
-            lo, hi = np.where(less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
-        if not len(symbols):
-            return np.full(len(node), -1)
-        hit = known & (lo < end) & (symbols[np.minimum(lo, len(symbols) - 1)] == symbol)
-        return np.where(hit, lo, -1)
-
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """log10 P(c | a, b) of trigram codes."""
-        a, b, c = codes // ALPHABET**2, codes // ALPHABET % ALPHABET, codes % ALPHABET
-        q = self.prob[0][c].astype(np.int64) + self.back[0][b]
-        bc = self.child(0, b, c)
-        if len(self.prob[1]):
-            q = np.where(bc >= 0, self.prob[1][bc], q)
-            ab = self.child(0, a, b)
-            q = np.where(ab >= 0, q + self.back[1][ab], q)
-            abc = self.child(1, ab, c)
-            if len(self.prob[2]):
-                q = np.where(abc >= 0, self.prob[2][abc], q)
-        return -STEP * q
