@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, near_dup, secret_scan, sentencepiece_codec, toxicity
 from tessera.llm.common import shared_dir, table
-from tessera.llm.queries import piece_model
+from tessera.llm.queries import guess_words, piece_model
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks secrets; n_chars of a changed text is its new length."""
     before = f"before_{uuid.uuid4().hex}"  # clashes with no column of docs
-    masked = secret_scan.redact(docs.withColumn(before, F.col("text")))
+    masked = secret_scan.redact(docs.withColumn(before, F.col("text")), guess_words())
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
         masked = masked.withColumn("n_chars", F.when(F.col("text").eqNullSafe(F.col(before)), F.col("n_chars")).otherwise(F.length("text").cast(kind)))

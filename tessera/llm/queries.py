@@ -25,6 +25,13 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def guess_words() -> dict[str, float]:
+    """The ranked words of the production queries, from two vocabulary files."""
+    import public_tokenizers
+
+    return secret_scan.dictionary(public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 @query
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), piece_model())
@@ -37,7 +44,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(table(spark, sf_dir, "documents"))
+    return secret_scan.scan(table(spark, sf_dir, "documents"), guess_words())
 
 
 @query

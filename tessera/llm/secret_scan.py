@@ -1,8 +1,15 @@
 """Secret scans: fixed patterns, and the cost of guessing values that stand in a credential context.
 
-A value behind a credential word is cut into words, dates, repeats, character sequences, keyboard walks and characters
-left to brute force; dynamic programming finds the cut that takes the fewest guesses. A value that takes many guesses
-was not chosen by a person to be remembered: it is a secret (kind guess), unless a fixed pattern has it already.
+A value behind a credential word and a sign (":", "=", "=>") is cut into words, dates, repeats, character sequences,
+keyboard walks and characters left to brute force; dynamic programming finds the cut that takes the fewest guesses. A
+value that takes many guesses was not chosen by a person to be remembered: it is a secret (kind guess), unless a fixed
+pattern has it already. Words cost by their rank in a dictionary: COMMON passwords, and the lists given as `words`,
+which dictionary() reads from vocabularies whose entries are ordered by how common they are. One automaton finds all
+words in a value, and every other part is found by sums along it, so that the time grows with its length (times its
+logarithm for repeated blocks).
+
+Repeated blocks: where the nearest earlier place of each window of 1, 2, 4, 8, ... characters lies at one distance for a
+stretch that is at least as long as that distance, the stretch repeats the block before it. No length is too long.
 
 Defined cases: a null or empty text has no spans; a null doc_id is kept; repeated rows are scanned each; other columns
 are not read by scan() and pass through redact() unchanged. Offsets are code points, the end is exclusive.
@@ -10,11 +17,16 @@ are not read by scan() and pass through redact() unchanged. Offsets are code poi
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +39,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z])(?:pwd|pass(?:code|phrase|word|wd)?|cred(?:ential)?s?|bearer|auth(?:orization)?|secret|token|(?:api|access|private|client|signing|encryption)[_\x20-]?(?:key|secret|token))(?:["']?\x20*(?::=|=>|[:=])\x20*|\x20+is\x20+|(?<=bearer)\x20+)["']?([^\s"'`,;<>(){}\[\]]+)""",
+    r"""(?<![A-Za-z])(?:pwd|pass(?:code|phrase|word|wd)?|cred(?:ential)?s?|bearer|auth(?:orization)?|secret|token|(?:api|access|private|client|signing|encryption)[_\x20-]?(?:key|secret|token))(?:["']?\x20*(?::=|=>|[:=])\x20*|(?<=bearer)\x20+)["']?([^\s"'`,;<>(){}\[\]]+)""",
     re.I | re.A,
 )
 # Words that people choose, the commonest first.
@@ -36,8 +48,6 @@ COMMON = (
     "freedom whatever trustno flower summer winter spring autumn test user guest root pass token change default example demo "
     "sample dummy changeme placeholder none null true false your here value string insert enter the and for key my new old"
 ).split()
-WORDS = {w: math.log10(2 + i) for i, w in enumerate(COMMON)}
-LONGEST = max(map(len, WORDS))
 LEET = str.maketrans("4310$57@", "aeiossta")
 ROWS = ("`1234567890-=", " qwertyuiop[]", " asdfghjkl;'", " zxcvbnm,./")
 SECRET_FROM = 10.0  # log10 of the guesses
@@ -65,54 +75,122 @@ def _alphabet(value: str) -> float:
     return math.log10(max(n, 2))
 
 
-def guesses(value: str) -> float:
-    """log10 of the fewest guesses that any cut of value takes; the time is linear in its length."""
-    n, low = len(value), value.lower()
-    if not n:
-        return 0.0
-    each, plain = _alphabet(value), low.translate(LEET)
-    into: dict[int, list[tuple[int, float]]] = {}
-    for i in range(n):
-        for size in range(3, min(LONGEST, n - i) + 1):
-            for form, extra in ((low, 0.0), (plain, 0.5)):
-                if (c := WORDS.get(form[i : i + size])) is not None:
-                    into.setdefault(i + size, []).append((i, c + extra + (0.3 if value[i : i + size] != low[i : i + size] else 0.0)))
-    for i in range(n):
-        if (m := _DATE.match(value, i)) is not None:
-            into.setdefault(m.end(), []).append((i, 2.1 if m.end() - i == 4 else 4.7))
-    i = 0
-    while i < n:  # runs of one character, of steps by one, and of neighbouring keys
-        for kind in ("repeat", "step", "walk"):
-            j = i + 1
-            if kind == "step" and j < n and abs(step := ord(low[j]) - ord(low[i])) == 1:
-                while j < n and ord(low[j]) - ord(low[j - 1]) == step:
-                    j += 1
-            elif kind == "repeat":
-                while j < n and low[j] == low[i]:
-                    j += 1
-            elif kind == "walk":
-                while j < n and low[j] in NEXT_TO.get(low[j - 1], ()):
-                    j += 1
-            if j - i >= 3 and (i == 0 or kind == "walk" and low[i] not in NEXT_TO.get(low[i - 1], ()) or kind != "walk"):
-                turns = sum(_turn(low, k) for k in range(i + 1, j - 1)) if kind == "walk" else 0
-                cost = {"repeat": each, "step": 1.7, "walk": 1.7 + 0.8 * turns}[kind] + math.log10(j - i)
-                into.setdefault(j, []).append((i, cost))
-        i += 1
-    for size in range(2, min(32, n // 2) + 1):  # a block that comes again and again
-        i = 0
-        while i + 2 * size <= n:
-            j = i + size
-            while value.startswith(value[i : i + size], j):
-                j += size
-            if j - i > size:
-                into.setdefault(j, []).append((i, size * each + math.log10((j - i) // size)))
-                i = j
+def dictionary(*vocabularies: str) -> dict[str, float]:
+    """Words with log10 of their rank, from tokenizer files whose entries stand in the order of how common they are.
+
+    A .json file lists words that end in "</w>", a .tiktoken file words behind a space.
+    """
+    words: dict[str, float] = {}
+    for path in vocabularies:
+        with open(path, "rb") as f:
+            if path.endswith(".json"):
+                ranked = sorted(json.load(f)["model"]["vocab"].items(), key=lambda x: x[1])
+                found = [k[:-4] for k, _ in ranked if k.endswith("</w>")]
             else:
-                i += 1
-    best = [0.0] * (n + 1)
-    for j in range(1, n + 1):
-        best[j] = min([best[j - 1] + each, *(best[i] + c + 0.3 for i, c in into.get(j, ()))])
-    return best[n]
+                ranked = sorted((int(b), base64.b64decode(a)) for a, b in map(bytes.split, f))
+                found = [w[1:].decode(errors="replace").lower() for _, w in ranked if w.startswith(b" ")]
+        for rank, word in enumerate(dict.fromkeys(w for w in found if len(w) >= 3 and w.isalpha())):
+            words[word] = min(words.get(word, math.inf), math.log10(2 + rank))
+    return words
+
+
+class Guesser:
+    """log10 of the fewest guesses for a value, with the words of COMMON and of a dictionary (word -> log10 of its rank)."""
+
+    def __init__(self, words: dict[str, float] | None = None) -> None:
+        ranked = dict(words or {})
+        for i, w in enumerate(COMMON):
+            ranked[w] = min(ranked.get(w, math.inf), math.log10(2 + i))
+        self.words = ahocorasick.Automaton()
+        for w, cost in ranked.items():
+            if len(w) >= 3:
+                self.words.add_word(w, (len(w), cost))
+        self.words.make_automaton()
+
+    def _found(self, low: str, extra: float, upper: list[int]) -> Iterator[tuple[int, int, float]]:
+        """(start, end, cost) of the words in low, by end."""
+        for last, (size, cost) in self.words.iter(low):
+            end = last + 1
+            yield end - size, end, cost + extra + (0.3 if upper[end] > upper[end - size] else 0.0)
+
+    def __call__(self, value: str) -> float:
+        n = len(value)
+        if not n:
+            return 0.0
+        low = value.lower()
+        if len(low) != n:
+            low = "".join(x if len(x := c.lower()) == 1 else c for c in value)
+        each = _alphabet(value)
+        upper = [0, *accumulate(a != b for a, b in zip(value, low))]
+        words: list[list[tuple[int, float]] | None] = [None] * (n + 1)
+        plain = low.translate(LEET)
+        for form, extra in ((low, 0.0), (plain, 0.5)) if plain != low else ((low, 0.0),):
+            for start, end, cost in self._found(form, extra, upper):
+                if words[end] is None:
+                    words[end] = []
+                words[end].append((start, cost))
+        best, ahead = [0.0] * (n + 1), [math.inf] * (n + 1)
+        runs, blocks = _runs(low, each), _blocks(low)
+        for j in range(n + 1):
+            if j:
+                least = min(best[j - 1] + each, ahead[j])
+                for i, cost in words[j] or ():
+                    least = min(least, best[i] + cost + 0.3)
+                best[j] = least
+            if j < n:
+                if value[j].isdigit() and (m := _DATE.match(value, j)) is not None:
+                    ahead[m.end()] = min(ahead[m.end()], best[j] + (2.1 if m.end() - j == 4 else 4.7) + 0.3)
+                for end, cost in (*runs(j), *blocks.get(j, ())):
+                    ahead[end] = min(ahead[end], best[j] + cost + 0.3)
+        return best[n]
+
+
+def _runs(low: str, each: float):
+    """A function of a place that gives (end, cost) of the runs from there: of one character, of steps by one, of neighbouring keys."""
+    n = len(low)
+    code = [ord(c) for c in low]
+    same, step, walk = ([*range(1, n + 1)] for _ in range(3))
+    turns = [0] * (n + 1)  # before a place
+    for i in range(n - 2, -1, -1):
+        if code[i] == code[i + 1]:
+            same[i] = same[i + 1]
+        if abs(code[i + 1] - code[i]) == 1:
+            step[i] = step[i + 1] if i + 2 < n and code[i + 2] - code[i + 1] == code[i + 1] - code[i] else i + 2
+        if low[i + 1] in NEXT_TO.get(low[i], ()):
+            walk[i] = walk[i + 1]
+    for i in range(1, n):
+        turns[i + 1] = turns[i] + (i + 1 < n and walk[i - 1] > i + 1 and _turn(low, i))
+
+    def at(i: int) -> Iterator[tuple[int, float]]:
+        for ends, cost in ((same, each), (step, 1.7), (walk, 1.7)):
+            if (j := ends[i]) - i >= 3:
+                yield j, cost + (0.8 * (turns[j - 1] - turns[i + 1]) if ends is walk else 0.0) + math.log10(j - i)
+
+    return at
+
+
+def _blocks(low: str) -> dict[int, list[tuple[int, float]]]:
+    """Place behind the first of equal blocks in a row -> (end of the row, cost of the other ones)."""
+    found: dict[int, list[tuple[int, float]]] = {}
+    n, k = len(low), 1
+    rank = np.unique(np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)[1].astype(np.int64)
+    while 2 * k <= n:
+        order = np.argsort(rank, kind="stable")
+        back = np.zeros(len(rank), np.int64)  # distance of the nearest earlier place of the same window
+        again = rank[order[1:]] == rank[order[:-1]]
+        back[order[1:][again]] = (order[1:] - order[:-1])[again]
+        if not back.any():
+            break  # longer windows are no more equal than these
+        starts = np.flatnonzero(np.diff(back, prepend=-1))
+        ends = np.append(starts[1:], len(back)) + k - 1
+        size = back[starts]
+        for a, b, d in zip(*(x[(size > 1) & (ends - starts >= size)].tolist() for x in (starts, ends, size))):
+            found.setdefault(a, []).append((b, math.log10((b - a) // d + 1)))
+        if len(rank) <= k:
+            break
+        rank = np.unique(rank[:-k] * (len(rank) + 1) + rank[k:], return_inverse=True)[1].astype(np.int64)
+        k *= 2
+    return found
 
 
 def _turn(low: str, k: int) -> bool:
@@ -120,8 +198,8 @@ def _turn(low: str, k: int) -> bool:
     return (b[0] - a[0], b[1] - a[1]) != (c[0] - b[0], c[1] - b[1])
 
 
-def find(raw: bytes) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], float]:
-    """(spans of the fixed kinds, spans of kind guess, the dearest value's log10 guesses); a span is (start, kind, end)."""
+def find(raw: bytes, guesses) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], float]:
+    """(spans of the fixed kinds, spans of kind guess, the dearest value's log10 guesses); a span is (start, kind, end). guesses: a Guesser."""
     low = raw.lower()
     hinted, keyed, hexed = any(h in low for h in HINTS), b"AKIA" in raw, b"x" * 24 in raw.translate(_HEX_BYTES)
     if not (hinted or keyed or hexed):
@@ -156,15 +234,17 @@ def _said(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs(doc_id, text): SCHEMA."""
+def scan(docs: DataFrame, words: dict[str, float] | None = None) -> DataFrame:
+    """One row for each row of docs(doc_id, text): SCHEMA. words: a dictionary(), sent to all workers."""
     small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(words or {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        guesses = Guesser(sent.value)
         for batch in slices(batches, 1024):
             rows = []
             for raw in as_bytes(batch.column(1)):
-                base, more, most = find(raw or b"")
+                base, more, most = find(raw or b"", guesses)
                 n = [sum(k == kind for _, k, _ in base) for kind in range(3)]
                 rows.append((*n, hashlib.sha256(_said(base).encode()).hexdigest(), _said(base + more), len(more), most))
             columns = list(zip(*rows)) or [[]] * 7
@@ -174,14 +254,15 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, words: dict[str, float] | None = None, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """docs with each secret in column text replaced by mark; all other columns as they were. Overlapping spans become one mark."""
     small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(words or {})
 
-    def clean(raw: bytes | None) -> str | None:
+    def clean(raw: bytes | None, guesses: Guesser) -> str | None:
         if raw is None:
             return None
-        base, more, _ = find(raw)
+        base, more, _ = find(raw, guesses)
         if not base and not more:
             return raw.decode()
         s, out, at = raw.decode(), [], 0
@@ -191,10 +272,12 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataF
             at = max(at, b)
         return "".join(out) + s[at:]
 
-    @F.pandas_udf("string")
-    def apply(column):
-        import pandas as pd
+    at = docs.columns.index(text)
+    kind = pa.string()
 
-        return pd.Series([clean(None if x is None else x.encode()) for x in column], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        guesses = Guesser(sent.value)
+        for batch in slices(batches, 1024):
+            yield batch.set_column(at, batch.schema.field(at).with_type(kind), pa.array([clean(raw, guesses) for raw in as_bytes(batch.column(at))], kind))
 
-    return docs.withColumn(text, apply(F.col(text)))
+    return docs.mapInArrow(run, docs.schema)

@@ -13,7 +13,7 @@ from tessera.llm.common import Roller, table
 HEX = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
 ODD = [
     None, "", " ", "a", "  two  spaces ", "\n", "\n\nx", "a \n b", "日本語 🙂 text", "▁", "a▁b", "<s> </s>", "\x00a", "a" * 700, "x\ny\nx\nx", "É é", "the the the the the the",
-    f'token = "{HEX}"', f"api_key: {HEX} AKIA{'Q7' * 10} end", "password=short", "pwd is hunter2!Zq8 and x", "x" * 300 + " y " * 3000,
+    f'token = "{HEX}"', f"api_key: {HEX} AKIA{'Q7' * 10} end", "password=short", "pwd is hunter2!Zq8 and x", "pwd: hunter2!Zq8 and x", "x" * 300 + " y " * 3000,
     "Released under the MIT License.", "apache license, version 2.0 and cc-by-nc cc by nc", "this work is licensed under the very gnu general public license version 3", "KEYK ſecret=abcdefgh",
 ]
 
@@ -120,17 +120,67 @@ def test_secrets(spark, docs, sf_dir, corpus):
 
 
 def test_secret_guesses_and_redaction(spark, docs):
-    cost = {v: secret_scan.guesses(v) for v in ("password123", "qwertyuiop", "aaaaaaaaaaaa", "letmein2012", "12/31/1999", "abcabcabcabc", HEX, "xK9#mQ2$vL", "")}
+    cost = {v: secret_scan.Guesser()(v) for v in ("password123", "qwertyuiop", "aaaaaaaaaaaa", "letmein2012", "12/31/1999", "abcabcabcabc", HEX, "xK9#mQ2$vL", "")}
     assert all(cost[v] < secret_scan.SECRET_FROM for v in ("password123", "qwertyuiop", "aaaaaaaaaaaa", "letmein2012", "12/31/1999", "abcabcabcabc", ""))
     assert all(cost[v] > secret_scan.SECRET_FROM for v in (HEX, "xK9#mQ2$vL"))
-    n = ODD.index("pwd is hunter2!Zq8 and x")
     out = {r.doc_id: r for r in secret_scan.redact(docs).collect()}
-    assert out[n].text == "pwd is [secret] and x"
+    assert out[ODD.index("pwd: hunter2!Zq8 and x")].text == "pwd: [secret] and x"
+    prose = ODD.index("pwd is hunter2!Zq8 and x")
+    assert out[prose].text == ODD[prose]  # a sentence is no context
     assert out[0].text is None and out[3].text == "a" and out[3].kept == "s"
     assert HEX not in out[ODD.index(f'token = "{HEX}"')].text
     assert secret_scan.redact(docs).columns == docs.columns
 
 
+PROSE = [
+    "The secret is simplicity and hard work.", "His password is required before noon.", "The secret: consistency, understanding and patience.", "Authorization: required for all visitors.",
+    "Bearer bonds were sold.", "password: incorrect", "Token: nonrefundable after purchase.", "Access key: available downstairs.", "Their credentials: impressive and international.", "passphrase = correct",
+]
+
+
+def test_secrets_in_prose_and_planted():
+    import random
+    import string
+
+    guesses = secret_scan.Guesser(queries.guess_words())
+    for s in PROSE:
+        assert secret_scan.find(s.encode(), guesses)[1] == [], s
+    rng, chars, caught = random.Random(3), string.ascii_letters + string.digits + "!#$%&*+-/?@^_~", 0
+    for i in range(400):
+        value = "".join(rng.choice(chars) for _ in range(rng.randrange(9, 17)))
+        text = f"some words {rng.choice(['pwd: ', 'passphrase = ', 'auth => ', 'private key: ', 'client_secret := '])}{value}\nmore"
+        base, more, _ = secret_scan.find(text.encode(), guesses)
+        caught += any(a <= text.index(value) and text.index(value) + len(value.rstrip(".!?:")) <= b for a, _, b in base + more)
+    assert caught >= 0.9 * 400
+
+
+def brute_guesses(value, words, each):
+    """The cheapest cut by trying all of them, with words and brute force only."""
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        best.append(min([best[j - 1] + each, *(best[i] + words[value[i:j]] + 0.3 for i in range(j) if value[i:j] in words)]))
+    return best[-1]
+
+
+def test_guess_costs():
+    import random
+    import time
+
+    rng, words = random.Random(4), {"gra": 1.0, "grape": 3.5, "ape": 2.0, "pear": 1.5, "earl": 2.5}
+    guesses = secret_scan.Guesser(words)
+    for _ in range(200):
+        value = "".join(rng.choice(["gra", "grape", "pear", "l", "x", "p"]) for _ in range(rng.randrange(1, 5)))
+        if not any(len(set(value[i : i + 3])) == 1 for i in range(len(value))):
+            assert guesses(value) <= brute_guesses(value, words, secret_scan._alphabet(value)) + 1e-9
+    assert guesses("xgrapeq") == pytest.approx(brute_guesses("xgrapeq", words, secret_scan._alphabet("xgrapeq")))
+    block = "".join(rng.choice("abcdefghijkmnopqrstuvwxyz0123456789") for _ in range(133))
+    assert guesses(block * 3) < guesses(block) + 3  # whatever the length of the block
+    for value in ("a" * 10**6, "abc" * 333_333, block * 7500):
+        began = time.perf_counter()
+        guesses(value)
+        assert time.perf_counter() - began < 60
+
+
 def brute_licenses(s):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", s.translate({c: c + 32 for c in range(65, 91)}))
     places = [(p, label) for phrase, label in license_scan.BASE for k in [phrase.split()] for p in range(len(w) - len(k) + 1) if w[p : p + len(k)] == k]
