@@ -67,10 +67,13 @@ def score(df: DataFrame, judge: str = "equal", consistency: Callable[[Column, Co
 
     entry = F.struct("accuracy", F.col("box_reward").alias("value"), (-F.col("_order")).alias("negative_order"), "think")
     best = F.max(F.when(fit, entry)).over(Window.partitionBy("original_idx").orderBy("step").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("reference", best["think"])
     if state is not None:
-        earlier = state.select("original_idx", F.col("think").alias("_think"))
-        rows = rows.join(earlier, "original_idx", "left").withColumn("reference", F.coalesce("reference", "_think")).drop("_think")
+        # the earlier entry comes before all rows, so it stays where it is equal
+        before = F.struct(F.col("accuracy").cast("double").alias("accuracy"), F.col("value").cast("double").alias("value"), F.lit(1).cast("long").alias("negative_order"), "think")
+        rows = rows.withColumn("_best", best).join(state.select("original_idx", before.alias("_earlier")), "original_idx", "left")
+        rows = rows.withColumn("reference", F.greatest("_best", "_earlier")["think"]).drop("_best", "_earlier")
+    else:
+        rows = rows.withColumn("reference", best["think"])
     cons = F.when(F.col("group") == "B", F.coalesce(consistency(F.col("reference"), F.col("think")), F.lit(0.0)) if consistency else F.lit(0.0)).otherwise(F.lit(0.0))
     rows = rows.withColumn("consistency", cons)
     total = overall(F.col("group"), F.col("format"), F.col("box_valid"), F.col("box_reward"), F.col("accuracy"), F.col("consistency"))

@@ -85,6 +85,16 @@ def test_four_rollouts(spark):
     assert len(best) == 1 and best[0].value == 1.0
 
 
+def test_stored_references(spark):
+    """A stored reference stays unless a row of this run is better."""
+    said = lambda t, box, answer: f"<think>{t}{box}</think><answer>{answer}</answer>"
+    data = [(0, 0, "A", said("new", "<box>[95,105,195,195]</box>", "red")), (1, 0, "B", said("b", "", "red")), (2, 1, "A", said("new", "<box>[100,100,200,200]</box>", "red")), (3, 2, "B", said("b", "", "red"))]
+    df = spark.createDataFrame([(p, i, g, r, "red", [[100, 100, 200, 200]], 1) for p, i, g, r in data], "pos long, original_idx long, `group` string, response string, ground_truth string, target_boxes array<array<long>>, step long")
+    state = spark.createDataFrame([(0, 1.0, 0.99, "stored"), (1, 1.0, 0.4, "stored"), (2, 1.0, 0.9, "stored")], "original_idx long, accuracy double, value double, think string")
+    got = {r.pos: r.reference for r in rewards.score(df, state=state).collect()}
+    assert got[0] == got[1] == got[3] == "stored" and got[2].startswith("new")
+
+
 def test_losses(spark):
     df = spark.createDataFrame([(0.1, -0.2, 0.5), (0.4, 0.1, -0.7), (30.0, 0.0, 1.0), (30.0, 0.0, -1.0)], "p double, q double, a double")
     out = losses.policy_loss(F.col("q"), F.col("p"), F.col("a"), 0.2, 0.3, 3.0)
