@@ -7,8 +7,9 @@ neighbouring diagonals (at most NEAR words put in or left out) make one candidat
 
 Each candidate's span is verified: its score is the share of the template's words that its windows cover, each word
 once, less half of the words in the span that no window covers, and it must reach LEAST_SCORE. Templates share much of
-their wording, so spans compete for the words of the text: each word goes to the best span over it (the greater score,
-then more matched words, then the first template), and a span counts only if most of its words are its own. So a notice
+their wording, so spans compete for the words of the text: each word goes to the best span over it (most matched words
+net of the others, then the greater score, then the first template), and a span counts only if most of its words are its
+own. The score of a text is the best of its spans that count or fell short of LEAST_SCORE. So a notice
 of version 3 is not one of version 2, and a short phrase inside a long notice keeps the long notice whole. The base
 phrases count wherever their words stand.
 
@@ -39,6 +40,8 @@ BASE = (
 )
 # Names and notices of well-known licenses, as their publishers word them, and their labels.
 MORE = (
+    ("licensed under the gnu general public license version 3", "gpl-3"),
+    ("licensed under the gnu general public license version 2", "gpl-2"),
     ("gnu general public license", "gpl"),
     ("gnu general public license version 1", "gpl-1"),
     ("gnu general public license version 2", "gpl-2"),
@@ -164,12 +167,12 @@ def scan(docs: DataFrame, base=BASE, more=MORE) -> DataFrame:
     )
     matched = F.least(_covered(F.col("places")), _covered(F.col("ats")))
     spans = copies.select(
-        *whole, "template", "label", "base", "n_base", "first", "last", F.array_min("ats").alias("lo"), (F.array_max("ats") + K - 1).alias("hi"), matched.alias("matched"),
+        *whole, "template", "n_template", "label", "base", "n_base", "first", "last", F.array_min("ats").alias("lo"), (F.array_max("ats") + K - 1).alias("hi"),
         F.when(F.col("template") < 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), (matched - (F.array_max("ats") + K - F.array_min("ats") - _covered(F.col("ats"))) / 2) / F.col("n_template"))).alias("score"),
     )
     # each word of the text goes to the best of the spans over it; other rows pass with a word of their own
     good = F.col("score") >= LEAST_SCORE
-    rank = F.struct("score", "matched", (-F.col("template")).alias("order"))
+    rank = F.struct((F.col("score") * F.col("n_template")).alias("net"), "score", (-F.col("template")).alias("order"))
     over = spans.withColumn("word", F.explode(F.when(good, F.sequence("lo", "hi")).otherwise(F.array((-F.col("template") - 2).cast("int")))))
     best = F.max(rank).over(Window.partitionBy("row", "word"))
     owned = over.withColumn("own", (rank == best).cast("int")).groupBy(*whole, "template", "label", "n_base", "first", "last", "lo", "hi", "score").agg(F.sum("own").alias("own"))
@@ -177,5 +180,5 @@ def scan(docs: DataFrame, base=BASE, more=MORE) -> DataFrame:
     joined = lambda keep: F.array_join(F.array_sort(F.collect_set(F.when(keep, F.col("label")))), ",")
     return owned.groupBy(*whole).agg(
         F.sum("n_base").alias("n_base"), F.min("first").alias("first_word"), F.max("last").alias("last_word"),
-        joined(F.col("n_base") > 0).alias("base_labels"), joined((F.col("template") >= 0) & kept).alias("labels"), F.max("score").alias("score"),
+        joined(F.col("n_base") > 0).alias("base_labels"), joined((F.col("template") >= 0) & kept).alias("labels"), F.max(F.when(kept | ~good, F.col("score"))).alias("score"),
     ).drop("row")

@@ -200,6 +200,16 @@ def test_licenses(spark, docs, sf_dir, corpus):
     assert "gpl-3" in changed.labels and changed.score < 1  # a word was put in
 
 
+def test_licenses_told_apart(spark):
+    said = [(phrase, label) for phrase, label in license_scan.MORE] + [
+        ("Licensed under the GNU General Public License version 3", "gpl-3"), ("GNU General Public License, version 2", "gpl-2"), ("the GNU General Public License, as it is", "gpl"),
+        ("under the MIT license, or the GNU Lesser General Public License, version 2.1", "lgpl-2.1,mit"), ("Apache Software License, Version 1.1", "apache-1.1"), ("Apache License, Version 2.0", "apache-2"),
+    ]
+    rows = [(i, f"some words before. {text} and words after it") for i, (text, _) in enumerate(said)]
+    for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.labels == said[r.doc_id][1], said[r.doc_id]
+
+
 def test_empty_tables(spark, docs):
     none = docs.where("false")
     for f in (lambda d: codec.encode_documents(d, queries.piece_model()), quality_rules.judge, secret_scan.scan, secret_scan.redact, license_scan.scan):
