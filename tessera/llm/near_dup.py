@@ -286,7 +286,10 @@ def resolve(docs: DataFrame, percent: int = LEAST_PERCENT, k: int = K) -> DataFr
     buckets = bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = cut(bands.join(buckets, "key"))
     first = cut(likely(members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), reps, percent))
-    links = cut(confirm(first, docs, percent, k))
+    # the classes of a doc_id with several texts are linked by it
+    several = cut(full.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id"))
+    shared = full.join(several, "doc_id", "left_semi").select("doc_id", "digest").join(reps.select("digest", "rep"), "digest").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
+    links = cut(confirm(first, docs, percent, k).union(shared))
     parts = cut(components(links))
     placed = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
