@@ -46,23 +46,27 @@ def _grams(pack: Pack, i: int, k: int) -> np.ndarray:
 
 
 def item_grams(items: DataFrame, k: int = K) -> DataFrame:
-    """(item_id, words, n_item, size, gram, place) for each n-gram of items(item_id, text); words: the item's text in plain form."""
+    """(item_id, version, n_item, size, gram, place) for each n-gram of items(item_id, text); version tells texts of one item_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller = Roller()
         for batch in slices(batches, 256):
             rows = []
-            for first, pack in packs(as_bytes(batch.column(1)), roller):
+            for first, pack in packs(as_bytes(batch.column(2)), roller):
                 for i in range(len(pack.counts)):
                     n = int(pack.counts[i])
-                    plain, at = b" ".join(pack.words[i]).decode(), batch.column(0)[first + i].as_py()
-                    rows += [(at, plain, n, min(n, k), g, p) for p, g in enumerate(_grams(pack, i, k).view(np.int64).tolist())]
+                    at, version = (batch.column(c)[first + i].as_py() for c in (0, 1))
+                    rows += [(at, version, n, min(n, k), g, p) for p, g in enumerate(_grams(pack, i, k).view(np.int64).tolist())]
             columns = list(zip(*rows)) or [[]] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["item_id", "words", "n_item", "size", "gram", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["item_id", "version", "n_item", "size", "gram", "place"])
+
+    return item_texts(items).mapInArrow(run, "item_id long, version long, n_item long, size long, gram long, place long")
+
 
-    whole = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
-    return whole.mapInArrow(run, "item_id long, words string, n_item long, size long, gram long, place long")
+def item_texts(items: DataFrame) -> DataFrame:
+    """(item_id, version, text): each text of items(item_id, text) once for each of its ids; rows with a null are left out."""
+    whole = items.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("version"), "text")
+    return whole.where("item_id is not null and text is not null").distinct()
 
 
 def bitmap(grams: DataFrame) -> bytes:
@@ -157,16 +161,16 @@ def hits(docs: DataFrame, items: DataFrame, k: int = K, least: float = LEAST_SCO
     found = cut(passages(docs, bitmap(seeds), sizes, longest + longest // 2 + DRIFT))
     pairs = (
         found.withColumn("hit", F.explode(F.arrays_zip("grams", "places"))).select("doc_id", "first", F.col("hit.grams").alias("gram"), F.col("hit.places").alias("at"))
-        .join(seeds.select("item_id", "gram", "place", "n_item", "size"), "gram")
-        .groupBy("doc_id", "first", "item_id", F.floor((F.col("at") - F.col("place")) / DRIFT).alias("d"), "n_item", "size").agg(F.countDistinct("place").alias("n"), F.min("at").alias("a"), F.max("at").alias("b"))
+        .join(seeds, "gram")
+        .groupBy("doc_id", "first", "item_id", "version", F.floor((F.col("at") - F.col("place")) / DRIFT).alias("d"), "n_item", "size").agg(F.countDistinct("place").alias("n"), F.min("at").alias("a"), F.max("at").alias("b"))
     )
     # a diagonal may straddle two neighbouring stripes
-    near = Window.partitionBy("doc_id", "first", "item_id").orderBy("d").rangeBetween(-1, 0)
+    near = Window.partitionBy("doc_id", "first", "item_id", "version").orderBy("d").rangeBetween(-1, 0)
     pairs = pairs.withColumn("votes", F.sum("n").over(near)).withColumn("lo", F.min("a").over(near)).withColumn("hi", F.max("b").over(near))
     need = F.least(F.lit(LEAST_SEEDS), F.greatest(F.lit(1), (F.col("n_item") - F.col("size") + 1) / 4))
-    pairs = pairs.where(F.col("votes") >= need).select("doc_id", "first", "item_id", "n_item", "lo", "hi")
-    texts = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).where("item_id is not null and item is not null")
-    cases = pairs.join(found.select("doc_id", "first", "words"), ["doc_id", "first"]).join(texts, "item_id")
+    pairs = pairs.where(F.col("votes") >= need).select("doc_id", "first", "item_id", "version", "n_item", "lo", "hi")
+    texts = item_texts(items).withColumnRenamed("text", "item")
+    cases = pairs.join(found.select("doc_id", "first", "words"), ["doc_id", "first"]).join(texts, ["item_id", "version"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
