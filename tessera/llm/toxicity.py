@@ -12,8 +12,8 @@ sample, so that a segment of score S has E = n exp(-lambda S) of its kind by cha
 of the best r segments is the evidence; a logistic curve, fitted on the sample, makes it a probability. The work on a
 text grows with its length only.
 
-Bound: the sample holds at most SAMPLE labelled rows, by the hash of doc_id; the model sent to the executors has at
-most SAMPLE_FEATURES features. Everything else runs over every text.
+Bound: the sample holds at most SAMPLE labelled rows, by the hash of doc_id; the model sent to the executors has those
+of its features that are significant, or lie under one that is. Everything else runs over every text.
 
 Defined cases: a null or empty text has no words and no evidence; rows with a null doc_id are scored and never learned
 from, held_out is false there; without labels, or with one class only, every score is the share of toxic ones (a half
@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 from .common import as_bytes, crc_mod, cut, slices, small_batches
 
 SAMPLE = 12_000
-SAMPLE_FEATURES = 50_000
 LONGEST_PREFIX = 12
 SHORTEST_PREFIX = 3
 LEAST_Z = 3.0
@@ -61,8 +60,6 @@ def words(raw: bytes | None) -> list[bytes]:
 
 def features(word: bytes) -> list[bytes]:
     """The word (marked by a final space) and its beginnings, cut between code points."""
-    if len(word) > 64:
-        return [word + b" "]
     return [word + b" ", *(word[:k] for k in range(SHORTEST_PREFIX, min(LONGEST_PREFIX, len(word)) + 1) if k == len(word) or word[k] & 0xC0 != 0x80)]
 
 
@@ -240,12 +237,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield batch.filter(pa.array([not roots.isdisjoint(features(f.rstrip(b" "))[1:]) for f in batch.column(0).to_pylist()], pa.bool_()))
 
     if roots:
-        uses |= read(sums.where((F.col("t") < LEAST_TOXIC) & (F.col("t") + F.col("c") >= LEAST_USES)).mapInArrow(below, sums.schema).orderBy(F.desc(F.col("t") + F.col("c")), "feature").limit(SAMPLE_FEATURES).toArrow())
+        uses |= read(sums.where((F.col("t") < LEAST_TOXIC) & (F.col("t") + F.col("c") >= LEAST_USES)).mapInArrow(below, sums.schema).toArrow())
     weights = weigh(uses, toxic, clean)
     under = lambda f: f in roots or not roots.isdisjoint(features(f.rstrip(b" "))[1:])
     # of beginnings with the same uses, the longest stands for all
     covered = {p for f in weights if not f.endswith(b" ") for p in features(f)[1:-1][-1:] if uses.get(p) == uses[f]}
-    ranked = sorted((f for f in weights if under(f) and f not in covered), key=lambda f: (-sum(uses[f]), f))[:SAMPLE_FEATURES]
+    ranked = sorted((f for f in weights if under(f) and f not in covered), key=lambda f: (-sum(uses[f]), f))
     model = Model({f: round(weights[f][0], 2) if certain(weights[f]) else LOSS for f in ranked})
 
     def background(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
