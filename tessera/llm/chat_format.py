@@ -6,9 +6,11 @@ conversation and identifier. A result depends on its call, a call on the results
 "$ref:<id>"; messages are ordered by their turn, but none before what it depends on: order_turn is the greatest turn
 along its dependencies and order_depth counts those at that turn, so (order_turn, order_depth, turn) sorts a
 conversation. Dependencies are resolved round by round, one round for each step of the longest chain; messages on a
-cycle are never resolved and keep their own turn (in_cycle). Arguments are held against the schema of the tool: it must
+cycle are never resolved and keep their own turn (in_cycle). Messages without calls or results depend on nothing and
+are not joined. Arguments are held against the schema of the tool: it must
 be known, no required argument may be missing, none may be unknown or of another type. Each message becomes one line of
-canonical JSON (sorted keys, no spaces, arguments as objects).
+canonical JSON (sorted keys, no spaces, arguments as objects); a call message keeps its content and the object's other
+fields, but for role, which is the row's.
 
 All work is by row or by call: no conversation is gathered, so one may hold any share of all rows.
 
@@ -57,6 +59,21 @@ def _kind_fits(found, wanted):
     return (found == wanted) | ((wanted == "number") & (found == "integer"))
 
 
+def _text(value):
+    """A string as JSON; null stays."""
+    said = F.to_json(F.array(value))
+    return F.when(value.isNotNull(), said.substr(F.lit(2), F.length(said) - 2))
+
+
+def _entry(key, value):
+    return F.struct(F.lit(key).alias("key"), value.alias("value"))
+
+
+def _object(entries):
+    """A JSON object of entries (key, value as JSON)."""
+    return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(_text(e["key"]), F.lit(":"), e["value"])), ","), F.lit("}"))
+
+
 def check_arguments(calls: DataFrame, tools: DataFrame) -> DataFrame:
     """calls(conv_id, turn, nth, name, arguments) with column valid."""
     key = ["conv_id", "turn", "nth"]
@@ -103,9 +120,7 @@ def format_messages(messages: DataFrame, tools: DataFrame) -> DataFrame:
     has_calls = F.coalesce(F.size(calls_of) > 0, F.lit(False))
     plain = F.to_json(F.struct(F.col("text").alias("content"), "role"), {"ignoreNullFields": "false"})
     none = F.lit(0).cast("long")
-    special = rows.where(has_calls | answer_of.isNotNull())
-    if special.isEmpty():
-        return rows.select("conv_id", "turn", "role", F.col("turn").alias("order_turn"), F.lit(0).alias("order_depth"), none.alias("n_calls"), none.alias("n_answered"), none.alias("n_invalid"), F.lit(None).cast("long").alias("answers_turn"), F.lit(False).alias("in_cycle"), plain.alias("message"))
+    special = has_calls | answer_of.isNotNull()
     exploded = rows.where(has_calls).select("conv_id", "turn", F.posexplode(calls_of).alias("nth", "c")).select("conv_id", "turn", "nth", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.coalesce("c.arguments", F.lit("{}")).alias("arguments"))
     calls = cut(check_arguments(exploded.distinct(), tools))
     results = cut(rows.where(answer_of.isNotNull()).select("conv_id", "turn", answer_of.alias("call_id")).distinct())
@@ -122,9 +137,28 @@ def format_messages(messages: DataFrame, tools: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("n_calls"), F.count_if(F.coalesce("answered", F.lit(False))).alias("n_answered"), F.count_if(~F.col("valid")).alias("n_invalid"))
     )
     per_result = links.groupBy("conv_id", "turn").agg(F.min("call_turn").alias("answers_turn"))
-    canonical = F.transform(calls_of, lambda c: F.concat(F.lit('{"arguments":'), F.coalesce(F.to_json(F.try_parse_json(c["arguments"])), F.to_json(F.array(c["arguments"])).substr(F.lit(2), F.length(F.to_json(F.array(c["arguments"]))) - 2), F.lit("{}")), F.lit(","), F.to_json(F.struct(c["id"].alias("id"), c["name"].alias("name")), {"ignoreNullFields": "false"}).substr(2, 1 << 30)))
-    role = F.to_json(F.struct("role"), {"ignoreNullFields": "false"}).substr(2, 1 << 30)
-    called = F.concat(F.lit('{"content":null,'), F.regexp_replace(role, r"\}$", ""), F.lit(',"tool_calls":['), F.array_join(canonical, ","), F.lit("]}"))
-    both = rows.join(per_turn, ["conv_id", "turn"], "left").join(per_result, ["conv_id", "turn"], "left").join(ordered, ["conv_id", "turn"], "left")
+    canonical = F.transform(
+        calls_of,
+        lambda c: _object(
+            F.array(
+                _entry("arguments", F.coalesce(F.to_json(F.try_parse_json(c["arguments"])), _text(c["arguments"]), F.lit("{}"))),
+                _entry("id", F.coalesce(_text(c["id"]), F.lit("null"))),
+                _entry("name", F.coalesce(_text(c["name"]), F.lit("null"))),
+            )
+        ),
+    )
+    # the object's other fields stay; its role is that of the row
+    given = F.expr("try_variant_get(try_parse_json(text), '$', 'map<string,variant>')")
+    own = F.map_entries(F.map_filter(given, lambda k, v: ~k.isin("role", "tool_calls", "content")))
+    others = F.coalesce(F.transform(own, lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("value"))), F.array().cast("array<struct<key:string,value:string>>"))
+    content = F.coalesce(F.to_json(F.try_element_at(given, F.lit("content"))), F.lit("null"))
+    known = F.array(_entry("content", content), _entry("role", F.coalesce(_text(F.col("role")), F.lit("null"))), _entry("tool_calls", F.concat(F.lit("["), F.array_join(canonical, ","), F.lit("]"))))
+    called = _object(F.array_sort(F.concat(known, others)))
+    # only messages with calls or results are joined; all others keep their place and need no shuffle
+    key = ["conv_id", "turn"]
+    linked = rows.where(special).withColumn("message", F.when(has_calls, called).otherwise(plain))
+    both = linked.join(per_turn, key, "left").join(per_result, key, "left").join(ordered, key, "left")
     zero = lambda c: F.coalesce(c, none).alias(c)
-    return both.select("conv_id", "turn", "role", F.coalesce("order_turn", "turn").alias("order_turn"), F.coalesce("order_depth", F.lit(0)).alias("order_depth"), zero("n_calls"), zero("n_answered"), zero("n_invalid"), "answers_turn", F.coalesce("in_cycle", F.lit(False)).alias("in_cycle"), F.when(has_calls, called).otherwise(plain).alias("message"))
+    placed = both.select("conv_id", "turn", "role", F.coalesce("order_turn", "turn").alias("order_turn"), F.coalesce("order_depth", F.lit(0)).alias("order_depth"), zero("n_calls"), zero("n_answered"), zero("n_invalid"), "answers_turn", F.coalesce("in_cycle", F.lit(False)).alias("in_cycle"), "message")
+    rest = rows.where(~special).select("conv_id", "turn", "role", F.col("turn").alias("order_turn"), F.lit(0).alias("order_depth"), none.alias("n_calls"), none.alias("n_answered"), none.alias("n_invalid"), F.lit(None).cast("long").alias("answers_turn"), F.lit(False).alias("in_cycle"), plain.alias("message"))
+    return rest.unionByName(placed)

@@ -98,6 +98,31 @@ def test_near_copies_null_and_repeated_ids(spark):
     assert near_dup.keep_one(frame(spark, rows)).where("doc_id is null").count() == 1
 
 
+def test_near_copies_linked_by_a_repeated_id(spark):
+    first, second = "a b c d e f", "p q r s t u"
+    rows = [(1, first), (2, second), (5, first), (5, second), (7, "other words stand in this one")]
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dup.resolve(frame(spark, rows)).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (5, 1, False), (7, 7, True)}
+    rng = random.Random(11)
+    texts = [f"text {i} of a small set stands here" for i in range(40)]
+    rows = [(rng.randrange(60), rng.randrange(40)) for _ in range(90)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for i, t in rows:
+        a, b = sorted((find(i), find(("text", t))), key=lambda x: (isinstance(x, tuple), x))
+        root[b] = a
+    least = {}
+    for i, _ in rows:
+        least[find(i)] = min(least.get(find(i), i), i)
+    for r in near_dup.resolve(frame(spark, [(i, texts[t]) for i, t in rows])).collect():
+        assert r.component_id == least[find(r.doc_id)], r
+
+
 def test_sketches():
     rng = np.random.default_rng(5)
     h = rng.integers(0, 2**63, 3000, dtype=np.uint64)
@@ -192,6 +217,25 @@ def test_decontamination_of_a_long_item_whose_seeds_stand_together(spark):
     assert [(r.doc_id, r.item_id, r.n_matched) for r in found] == [(1, 1, sum(a == b for a, b in zip(item, copy)))]
 
 
+def test_decontamination_of_a_very_long_item(spark):
+    rng = random.Random(3)
+    item = [f"v{rng.randrange(4000)}" for _ in range(20_000)]
+    edited = list(item)
+    for i in range(0, len(edited), 9):
+        edited[i] = "changed"
+    docs = [(1, "before " * 50 + " ".join(item) + " after" * 50), (2, " ".join(edited)), (3, " ".join(item[:3000])), (4, "nothing of it")]
+    got = {r.doc_id: r.score for r in decontaminate.hits(frame(spark, docs), spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")).collect()}
+    assert set(got) == {1, 2} and got[1] == 1 and got[2] > 0.8
+
+
+def test_decontamination_of_two_texts_of_one_item(spark):
+    one, two = " ".join(f"one{i}" for i in range(20)), " ".join(f"two{i}" for i in range(30))
+    items = spark.createDataFrame([(1, one), (1, two), (1, two)], "item_id long, text string")
+    docs = [(1, f"x {one} y"), (2, f"x {two} y"), (3, "x y z")]
+    got = sorted((r.doc_id, r.score, r.n_item) for r in decontaminate.hits(frame(spark, docs), items).collect())
+    assert got == [(1, 1.0, 20), (2, 1.0, 30)]
+
+
 def test_alignment():
     rng = random.Random(8)
     for _ in range(60):
@@ -273,6 +317,10 @@ def test_segments():
         assert sorted((round(s, 6), i, j) for s, i, j in toxicity.segments(scores)) == brute_segments(scores)
 
 
+def test_features_of_long_words():
+    assert [len(toxicity.features(b"x" * n)) for n in (2, 12, 64, 65, 5000)] == [1, 11, 11, 11, 11]
+
+
 def test_toxicity(spark):
     sf_dir = "/root/testdata/sf0.01"
     out = queries.op4_toxicity(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left").collect()

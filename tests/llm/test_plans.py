@@ -42,6 +42,15 @@ def test_chat_cases(spark):
     assert chat_format.format_messages(df.where("false"), chat_format.tool_table(spark)).count() == 0
 
 
+def test_calls_keep_content_and_fields(spark):
+    text = '{"zeta":[1,{"b":1,"a":2}],"content":"say \\"x\\"","role":"other","Alpha":null,"tool_calls":[{"id":"a","name":"search","arguments":{"query":"x"}}]}'
+    rows = [(1, 0, "assistant", text), (1, 0, "user", "of the same turn"), (1, 1, "user", "later")]
+    out = chat_format.format_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), chat_format.tool_table(spark)).collect()
+    by = {(r.turn, r.role): r for r in out}
+    assert len(out) == 3 and by[0, "assistant"].n_calls == 1 and by[0, "user"].n_calls == 0
+    assert by[0, "assistant"].message == '{"Alpha":null,"content":"say \\"x\\"","role":"assistant","tool_calls":[{"arguments":{"query":"x"},"id":"a","name":"search"}],"zeta":[1,{"a":2,"b":1}]}'
+
+
 def test_chat_sql(spark, sf_dir):
     from oracle import connect, rows
 
