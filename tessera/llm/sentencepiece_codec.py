@@ -4,10 +4,12 @@ A text becomes one symbol for each character, and an agenda of adjacent symbol p
 merged piece and then from left to right, says which pair is merged next. No piece of such a vocabulary holds a word
 mark behind another character, so no merge crosses the start of a word; nor does one cross a line end that stands in no
 piece. A text is cut there, and each distinct part goes through the agenda once per worker while it is remembered (the
-memory is bounded, and keeps what was used last). A vocabulary with a piece that breaks the first rule is handled by one
-agenda over the whole text. The parts of an Arrow batch that went through the agenda are checked against the
-sentencepiece library together; a part on which the two differ takes the library's ids, and the text is marked in
-column agrees. decode() is run on each part's ids likewise: a text decodes to its parts' texts in a row.
+memory is bounded in parts and in bytes, and keeps what was used last). A vocabulary with a piece that breaks the first
+rule is handled by one agenda over the whole text. The parts of an Arrow batch that went through the agenda (without
+word starts: its texts) are checked against the sentencepiece library together; where the two differ the library's ids
+are taken, and the text is marked in column agrees. Then the ids of each whole text are decoded, by the library for a
+batch of texts at once and by the pieces of the parts; where the two differ the library's text is taken, and agrees is
+false as well.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; a null doc_id is kept; repeated rows are
 encoded each; other columns of the input are not read.
@@ -19,9 +21,11 @@ import functools
 import hashlib
 import heapq
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,12 +35,13 @@ from .common import slices, small_batches
 MARK = "▁"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean, agrees boolean"
 REMEMBERED_PARTS = 400_000
+REMEMBERED_BYTES = 96 << 20
 
 
 class Codec:
     """Encoder and decoder over the vocabulary of a model file."""
 
-    def __init__(self, model: str, remembered: int = REMEMBERED_PARTS) -> None:
+    def __init__(self, model: str, remembered: int = REMEMBERED_PARTS, remembered_bytes: int = REMEMBERED_BYTES) -> None:
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=model)
         self.score: dict[str, float] = {}
         self.id: dict[str, int] = {}
@@ -62,7 +67,8 @@ class Codec:
         self.older: dict[str, str] = {}
         self.strange: dict[str, str] = {}  # of those, the ones that decode to something else than themselves
         self.fresh: list[str] = []  # parts that the library hasn't checked yet
-        self.limit = remembered
+        self.limit, self.most_bytes = remembered, remembered_bytes
+        self.held = 0  # bytes of known
 
     def word(self, word: str) -> list[int]:
         """Ids of a text that starts with its word mark, by the agenda of adjacent pairs."""
@@ -102,8 +108,8 @@ class Codec:
 
     def _part(self, part: str) -> str:
         """The ids of a part that isn't in known, joined; it is there afterwards."""
-        if len(self.known) >= self.limit and not self.fresh:
-            self.older, self.known = self.known, {}
+        if (len(self.known) >= self.limit or self.held >= self.most_bytes) and not self.fresh:
+            self.older, self.known, self.held = self.known, {}, 0
             self.strange = {k: v for k, v in self.strange.items() if k in self.older}
         said = self.older.get(part)
         if said is None:
@@ -113,6 +119,7 @@ class Codec:
             self.fresh.append(part)
             self._note(part, marked, ids)
         self.known[part] = said
+        self.held += sys.getsizeof(part) + sys.getsizeof(said)
         return said
 
     def _note(self, part: str, marked: str, ids: list[int]) -> None:
@@ -167,10 +174,19 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return [int(x) for x in self.encode_text(text).split(",") if x]
 
-    def decoded_text(self, text: str, ids: str) -> str:
+    def check_texts(self, texts: list[str], found: list[str]) -> set[str]:
+        """As check(), for a vocabulary without word starts: whole texts, whose ids in found are put right."""
+        odd = set()
+        for i, ids in enumerate(self.library.encode(texts, num_threads=1)):
+            if (said := ",".join(map(str, ids))) != found[i]:
+                odd.add(texts[i])
+                found[i] = said
+        return odd
+
+    def decoded_text(self, text: str, ids: list[int]) -> str:
         """What the ids of text, as encode_text gave them, decode to."""
         if not self.by_word:
-            return self.decode([int(x) for x in ids.split(",") if x])
+            return self.decode(ids)
         if self.strange and not self.strange.keys().isdisjoint(parts := self.parts(text) if text else []):
             whole = "".join(self.strange[p] if p in self.strange else self.marked(p).replace(MARK, " ") for p in parts)
             return whole[1:] if whole[:1] == " " else whole
@@ -214,6 +230,14 @@ def _utf8(run: bytes) -> str:
     return "".join(out)
 
 
+def numbers(found: list[str]) -> list[list[int]]:
+    """Ids joined by commas, as lists."""
+    cut = pc.split_pattern(pa.array([f or None for f in found], pa.large_string()), ",")
+    flat = pc.cast(pc.list_flatten(cut), pa.int32()).to_numpy(zero_copy_only=False)
+    ends = pc.fill_null(pc.list_value_length(cut), 0).to_numpy(zero_copy_only=False).cumsum().tolist()
+    return [flat[a:b].tolist() for a, b in zip([0, *ends], ends)]
+
+
 @functools.lru_cache(2)
 def codec_of(model: str) -> Codec:
     """One codec for each worker process, so that later tasks find its words."""
@@ -229,15 +253,17 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
         for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             found = list(map(codec.encode_text, texts))
-            odd = codec.check()
+            if codec.by_word:
+                parts = codec.check()
+                odd = {t for t in texts if t and not parts.isdisjoint(codec.parts(t))} if parts else set()
+                found = [codec.encode_text(t) if t in odd else f for t, f in zip(texts, found)] if odd else found
+            else:
+                odd = codec.check_texts(texts, found)
+            lists = numbers(found)
             rows = []
-            for text, ids in zip(texts, found):
-                agrees = True
-                if odd and not odd.isdisjoint(codec.parts(text) if text else []):
-                    agrees, ids = False, codec.encode_text(text)
-                decoded = codec.decoded_text(text, ids)
-                n = ids.count(",") + 1 if ids else 0
-                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), decoded == text, agrees))
+            for text, joined, ids, decoded in zip(texts, found, lists, codec.library.decode(lists, num_threads=1)):
+                agrees = text not in odd and codec.decoded_text(text, ids) == decoded
+                rows.append((len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), decoded == text, agrees))
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.bool_()), pa.array(columns[4], pa.bool_())],

@@ -59,6 +59,28 @@ def test_codec_memory_is_bounded():
     assert len(small.known) <= 60 and len(small.older) <= 60
 
 
+def test_codec_memory_is_bounded_in_bytes():
+    small = codec.Codec(queries.piece_model(), remembered_bytes=100_000)
+    for i in range(40):
+        t = chr(97 + i % 26) * 5_000 + str(i)  # one part
+        assert small.encode(t) == small.library.encode(t)
+        small.check()
+        assert small.held < 200_000
+    assert len(small.known) + len(small.older) < 40
+
+
+def test_sentencepiece_long_text_without_spaces(spark):
+    library = codec.Codec(queries.piece_model()).library
+    text = "".join(chr(97 + (i * i * 7 + i // 11) % 26) for i in range(300_000))
+    (row,) = codec.encode_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), queries.piece_model()).collect()
+    ids = library.encode(text)
+    assert (row.n_tokens, row.ids_sha256, row.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids))) and row.agrees
+
+
+def test_numbers():
+    assert codec.numbers(["1,2,31999", "", "4"]) == [[1, 2, 31999], [], [4]] and codec.numbers([]) == []
+
+
 def test_codec_takes_the_library_where_it_differs():
     c = codec.Codec(queries.piece_model())
     c.score = {}  # no merges: the agenda gives single characters
@@ -72,7 +94,12 @@ def test_codec_without_word_boundaries():
     c.by_word = False
     for t in ("hello world  again\n", "a▁b", "日本 x"):
         assert c.encode(t) == c.library.encode(t)
-        assert c.decoded_text(t, c.encode_text(t)) == c.library.decode(c.library.encode(t))
+        assert c.decoded_text(t, c.encode(t)) == c.library.decode(c.library.encode(t))
+    c.score = {}
+    texts = ["hello world", "", "a"]
+    found = list(map(c.encode_text, texts))
+    assert c.check_texts(texts, found) == {"hello world"}
+    assert codec.numbers(found) == c.library.encode(texts)
 
 
 def brute_quality(s):
