@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value computed once for a row: inside a lambda an expression is evaluated anew for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def area(b: Column) -> Column:
     return (b[2] - b[0]) * (b[3] - b[1])
 
@@ -51,24 +58,27 @@ def parsed_boxes(s: Column) -> Column:
 
 def box_validity(s: Column) -> tuple[Column, Column]:
     """(share of well-formed boxes, number of boxes); both 0 if one of the first half overlaps another by more than 0.9."""
-    bodies = text.tags(s, "box")
-    good = F.filter(F.transform(bodies, text.box), is_box)
-    total = F.size(bodies)
-    half = F.slice(good, 1, F.greatest(F.lit(0), F.floor(total / 2).cast("int")))
-    twice = F.exists(F.transform(half, lambda a, i: F.exists(F.transform(good, lambda b, j: (i != j) & (iou(a, b) > 0.9)), lambda x: x)), lambda x: x)
-    share = F.when((total == 0) | twice, F.lit(0.0)).otherwise(F.size(good) / total)
-    return share, F.when(twice, F.lit(0)).otherwise(total)
+    overlaps = lambda some, good: F.exists(F.transform(some, lambda a, i: F.exists(F.transform(good, lambda b, j: (i != j) & (iou(a, b) > 0.9)), lambda x: x)), lambda x: x)
+
+    def judged(bodies: Column, good: Column) -> Column:
+        total = F.size(bodies)
+        half = F.slice(good, 1, F.greatest(F.lit(0), F.floor(total / 2).cast("int")))
+        return _once(overlaps(half, good), lambda twice: F.struct(F.when((total == 0) | twice, F.lit(0.0)).otherwise(F.size(good) / total).alias("share"), F.when(twice, F.lit(0)).otherwise(total).alias("n")))
+
+    out = _once(text.tags(s, "box"), lambda bodies: _once(F.filter(F.transform(bodies, text.box), is_box), lambda good: judged(bodies, good)))
+    return out["share"], out["n"]
 
 
 def box_reward(s: Column, targets: Column) -> Column:
     """Mean of precision and recall by best overlap; without targets 1 if there is a box; without valid boxes 0."""
-    found = parsed_boxes(s)
     mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)
-    both = 0.5 * (mean(F.transform(targets, lambda t: best_iou(t, found))) + mean(F.transform(found, lambda p: best_iou(p, targets))))
-    return (
-        F.when(F.coalesce(F.size(targets), F.lit(0)) <= 0, F.when(F.size(text.tags(s, "box")) > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-        .when(F.size(found) == 0, F.lit(0.0)).otherwise(both)
-    )
+
+    def judged(found: Column, targets: Column) -> Column:
+        both = 0.5 * (mean(F.transform(targets, lambda t: best_iou(t, found))) + mean(F.transform(found, lambda p: best_iou(p, targets))))
+        return F.when(F.size(found) == 0, F.lit(0.0)).otherwise(both)
+
+    bare = F.when(F.size(text.tags(s, "box")) > 0, F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.when(F.coalesce(F.size(targets), F.lit(0)) <= 0, bare).otherwise(_once(parsed_boxes(s), lambda found: _once(targets, lambda t: judged(found, t))))
 
 
 def resized(width: Column, height: Column, least: int, most: int) -> tuple[Column, Column]:

@@ -101,17 +101,13 @@ def gae(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("reinforce_pp", f"""
-WITH x AS (SELECT vec_id, t, x, CASE WHEN t <= vec_id % 64 THEN 1 ELSE 0 END AS m FROM {_TOKENS})
-SELECT a.vec_id, CAST(a.t AS INTEGER) AS t,
-       round(sum(power(0.9, b.t - a.t) * b.x * CASE WHEN b.t = a.t OR b.t <= a.vec_id % 64 + 1 THEN 1 ELSE 0 END), 4) + 0.0 AS returns
-FROM x a JOIN x b ON a.vec_id = b.vec_id AND b.t >= a.t AND (b.t = a.t OR a.m = 1) GROUP BY a.vec_id, a.t""".replace("a.vec_id % 64 + 1", "a.vec_id % 64"))
+SELECT a.vec_id, CAST(a.t AS INTEGER) AS t, round(sum(power(0.9, b.t - a.t) * b.x * CASE WHEN b.t = a.t OR b.t <= a.vec_id % 64 THEN 1 ELSE 0 END), 4) + 0.0 AS returns
+FROM {_TOKENS} a JOIN {_TOKENS} b ON a.vec_id = b.vec_id AND b.t >= a.t GROUP BY a.vec_id, a.t""")
 def reinforce_pp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rewards stand behind the mask too, so that the cut at the mask is seen."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"), _mask())
-    # rewards stand on valid tokens and on the token itself
-    masked = arrays.times(F.col("x"), F.col("mask"))
-    run = rows.select("vec_id", "x", "mask", scans.discounted(masked, F.col("mask").cast("array<double>"), 0.9).alias("r"))
-    out = F.zip_with(F.col("r"), F.zip_with("x", "mask", lambda x, m: x * (1 - m)), lambda r, x: r + x)
-    return run.select("vec_id", F.posexplode(out).alias("t", "r")).select("vec_id", "t", _round(F.col("r")).alias("returns"))
+    run = rows.select("vec_id", F.posexplode(scans.discounted(F.col("x"), F.col("mask").cast("array<double>"), 0.9)).alias("t", "r"))
+    return run.select("vec_id", "t", _round(F.col("r")).alias("returns"))
 
 
 _MOMENTS = f"""WITH x AS (SELECT vec_id, t, CAST(round(x * 10000) AS BIGINT) AS v, t <= vec_id % 64 AS m FROM {_TOKENS}),
@@ -146,20 +142,39 @@ def _of_user():
     return Window.partitionBy("user_id").orderBy("ts", "event_id")
 
 
-@query("response_mask", """
-SELECT event_id, CAST(coalesce(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS INTEGER) AS mask
-FROM events""")
+_IDS = f"(SELECT vec_id, t, CAST(round(x * 10000) AS BIGINT) % 7 AS id FROM {_TOKENS})"  # id 0 ends a response
+
+
+def _ids():
+    return F.transform(_ints(), lambda v: v % 7).alias("ids")
+
+
+@query("response_mask", f"""
+WITH x AS {_IDS}, f AS (SELECT vec_id, min(t) FILTER (id = 0) AS first FROM x GROUP BY vec_id)
+SELECT vec_id, CAST(t AS INTEGER) AS t, CASE WHEN first IS NULL OR t <= first THEN 1 ELSE 0 END AS mask FROM x JOIN f USING (vec_id)""")
 def response_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = F.coalesce(F.sum((F.col("event_type") == "error").cast("int")).over(_of_user().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return _events(spark, sf_dir).select("event_id", (before == 0).cast("int").alias("mask"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", _ids())
+    return rows.select("vec_id", F.posexplode(arrays.response_mask(F.col("ids"), [0])).alias("t", "mask"))
 
 
-@query("position_ids", """
-SELECT event_id, CAST(greatest(sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1, 0) AS BIGINT) AS position
-FROM events""")
+@query("position_ids", f"""
+SELECT vec_id, CAST(t AS INTEGER) AS t, CAST(greatest(sum(CASE WHEN id <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY vec_id ORDER BY t) - 1, 0) AS BIGINT) AS position FROM {_IDS}""")
 def position_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = F.sum((F.col("event_type") != "error").cast("int")).over(_of_user().rowsBetween(Window.unboundedPreceding, 0))
-    return _events(spark, sf_dir).select("event_id", F.greatest(seen - 1, F.lit(0)).cast("long").alias("position"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", _ids()).withColumn("mask", F.transform("ids", lambda i: (i != 0).cast("int")))
+    return rows.select("vec_id", F.posexplode(arrays.position_ids(F.col("mask"))).alias("t", "position"))
+
+
+@query("response_positions", "SELECT vec_id, CAST(t AS INTEGER) AS t, CAST(vec_id % 9 + t + 1 AS BIGINT) AS position FROM embeddings, range(5) r(t)")
+def response_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prompt = F.sequence(F.lit(0).cast("long"), F.col("vec_id") % 9)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(arrays.response_positions(prompt, 5)).alias("t", "position"))
+
+
+@query("prompt_response_parts", f"""
+SELECT vec_id, CAST(sum(id) FILTER (t < 44) AS BIGINT) AS prompt_sum, CAST(sum(id) FILTER (t >= 44) AS BIGINT) AS response_sum FROM {_IDS} GROUP BY vec_id""")
+def prompt_response_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", _ids())
+    return rows.select("vec_id", arrays.total(arrays.prompt_part(F.col("ids"), 20)).alias("prompt_sum"), arrays.total(arrays.response_part(F.col("ids"), 20)).alias("response_sum"))
 
 
 @query("token_reward", """
@@ -181,10 +196,10 @@ def segment_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return starts.select("user_id", F.col("place").alias("start"), length.alias("length")).withColumn("longest", F.max("length").over(own))
 
 
-@query("roll_labels", """
-SELECT event_id, coalesce(lead(event_type) OVER w, first_value(event_type) OVER w) AS label FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+@query("roll_labels", f"SELECT vec_id, CAST((t + 63) % 64 AS INTEGER) AS t, id AS label FROM {_IDS}")
 def roll_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).select("event_id", F.coalesce(F.lead("event_type").over(_of_user()), F.first("event_type").over(_of_user())).alias("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", _ids())
+    return rows.select("vec_id", F.posexplode(arrays.roll_left(F.col("ids"))).alias("t", "label"))
 
 
 def _rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +248,10 @@ def group_imputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*KEY, _round(F.col("overall")).alias("overall"))
 
 
-@query("stream_best")
+@query("stream_best", """
+WITH r AS (SELECT user_id AS key, CASE WHEN event_type = 'purchase' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS accuracy, value, event_id AS step FROM events WHERE value IS NOT NULL),
+b AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY accuracy DESC, value DESC, step) AS place FROM r)
+SELECT key, accuracy, value, step FROM b WHERE place = 1""")
 def stream_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming form of running_best: the state after all events, which is its last row of each key."""
     import uuid

@@ -79,12 +79,12 @@ def inner_skip_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.lookup(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id"), "doc_id")[1]
 
 
-@query("dedup_fanout", "SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS first_id, count(*) OVER (PARTITION BY md5(text)) AS copies, length(text) AS n FROM documents")
+@query("dedup_fanout", "SELECT doc_id, md5(text) AS key, length(text) AS n FROM documents WHERE text IS NOT NULL")
 def dedup_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A value that is computed once for each distinct text and fans out to its copies."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("key"), F.length("text").cast("long").alias("n"))
-    once = docs.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.min("n").alias("n"))
-    return docs.drop("n").join(once, "key").select("doc_id", "first_id", "copies", "n")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    once = curation.once_per_key(docs, "text", lambda t: t.select("text", F.md5("text").alias("key"), F.length("text").cast("long").alias("n")))
+    return once.select("doc_id", "key", "n")
 
 
 @query("distinct_first", "SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source")
@@ -120,7 +120,19 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.retained(steps, current, best, 5)
 
 
-@query("step_log_roundtrip")
+@query("cache_roundtrip", """
+WITH b AS (SELECT user_id AS original_idx, event_type || ' ' || event_id AS think, value, event_id AS step, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS place FROM events WHERE value IS NOT NULL)
+SELECT original_idx, 1.0::DOUBLE AS accuracy, value, think, step FROM b WHERE place = 1""")
+def cache_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best reference of each key, written as cache documents and read again as the state of a later run."""
+    rows = table(spark, sf_dir, "events").where("value is not null")
+    rows = rows.select(F.col("user_id").alias("original_idx"), F.lit(1.0).alias("accuracy"), "value", F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("think"), F.col("event_id").alias("step"))
+    place = f"{shared_dir(spark)}/tessera-cache-{uuid.uuid4().hex}"
+    sinks.write_cache(groups.top_one(rows, ["original_idx"], "value", ["step"]), place, 7, documents=3)
+    return files.reference_state(spark, place)
+
+
+@query("step_log_roundtrip", "SELECT event_id % 5 AS step, event_id AS index, event_type AS question, props AS response, user_id AS original_idx, value AS overall, 1 AS n_rewards FROM events")
 def step_log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as step logs, one file for each step, and read again."""
     rows = table(spark, sf_dir, "events").select(

@@ -75,9 +75,10 @@ def consistency_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", text.consistency(said).alias("score"))
 
 
-@query("question_clean", r"SELECT doc_id, md5(regexp_replace(regexp_replace(replace(text, 'the', ''), '[ \n]+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM documents")
+@query("question_clean", r"SELECT doc_id, md5(regexp_replace(replace(' <image>' || text || E'<image>\n', '<image>', ''), '^\s+|\s+$', '', 'g')) AS digest FROM documents")
 def question_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.without_boxes(F.replace("text", F.lit("the"), F.lit("")))).alias("digest"))
+    asked = F.concat(F.lit(" <image>"), "text", F.lit("<image>\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.clean_question(asked)).alias("digest"))
 
 
 @query("overlong", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[^ \t\n\r\f\x0B]+')) AS INTEGER) AS n_tokens FROM documents WHERE len(regexp_extract_all(text, '[^ \t\n\r\f\x0B]+')) <= 1024")

@@ -68,6 +68,11 @@ def reference_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("cache").alias("k", "v")).select(F.col("k").cast("long").alias("original_idx"), "v.*")
 
 
+def reference_state(spark: SparkSession, path: str) -> DataFrame:
+    """The same as (original_idx, accuracy, value, think, step), the state that rewards.score takes."""
+    return reference_cache(spark, path).select("original_idx", "accuracy", F.col("box_reward").alias("value"), F.col("think_content").alias("think"), "step")
+
+
 def images(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length, content) of all images below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)

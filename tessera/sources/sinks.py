@@ -38,8 +38,16 @@ def write_documents(documents: DataFrame, folder: str) -> None:
     documents.select("name", "document").foreachPartition(put)
 
 
-def write_cache(best: DataFrame, path: str) -> None:
-    best.write.mode("overwrite").json(path)
+def write_cache(best: DataFrame, path: str, global_step: int, documents: int = 1) -> None:
+    """References best(original_idx, accuracy, value, think, step) as cache documents below path, which files.reference_cache reads.
+
+    A document is one JSON object; where one would not fit into a task, more documents share the keys by hash.
+    """
+    entry = F.struct(F.col("think").alias("think_content"), "accuracy", F.col("value").alias("box_reward"), "step")
+    dealt = best.groupBy(F.pmod(F.xxhash64("original_idx"), F.lit(documents)).alias("document"))
+    cache = dealt.agg(F.map_from_entries(F.collect_list(F.struct(F.col("original_idx").cast("string"), entry))).alias("cache"))
+    body = F.to_json(F.struct(F.lit(global_step).cast("long").alias("global_step"), "cache"))
+    cache.select("document", body.alias("value")).write.mode("overwrite").partitionBy("document").text(path)
 
 
 def write_samples(samples: DataFrame, path: str, by: str | None = None) -> None:
