@@ -7,12 +7,13 @@ and triples of the training texts with the next shorter context; none is dropped
 of the kinds of words seen behind it (Witten-Bell); a word b, of its uses to the power HEAPS, about the kinds of words
 behind it. So the chances of all sequences of known words and unknown ones sum to one, but for quantising.
 
-Neither word counts nor n-grams are held in one place. A first pass adds up word counts in parts of all word hashes and
-hands on a few sums. Texts are then dealt into blocks of about `block_bytes` bytes by the one shuffle of texts. A block
-sends its distinct words and trigrams, with their training uses, to as many parts as there are blocks, by the hash of
-the word or of the context. A part builds its own mapped Elias-Fano trie (ngram_trie.WordTrie) and answers each block in
-the order that it asked in: the counts of words, and quantised logarithms of the smoothed shares of n-grams and of the
-weights of their contexts. So a block's texts and answers, or one part of all n-grams, are what a task holds, about 20
+Neither word counts nor n-grams are held in one place. Texts are dealt into blocks of about `block_bytes` bytes by the
+one shuffle of texts, each text compressed. A block sends its distinct words and trigrams, with their training uses, to
+as many parts as there are blocks, by the hash of the word or of the context. A part builds its own mapped Elias-Fano
+trie (ngram_trie.WordTrie) and answers each block in the order that it asked in: the counts of words, and quantised
+logarithms of the smoothed shares of n-grams and of the weights of their contexts. Each answer also has the sums of the
+part's word counts; a block asks every part, if only for these, so it has the sums of all words without a pass of their
+own. So a block's texts and answers, or one part of all n-grams, are what a task holds, about 20
 bytes of memory for each byte of a block; there are blocks * parts messages, so block_bytes should grow with the memory
 of executors (256 MB at 100 TB: 400,000 blocks).
 
@@ -27,8 +28,8 @@ read.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +42,14 @@ from .ngram_trie import WordTrie, fresh, shares, whole_numbers
 
 BLOCK = 24 << 20
 LEAST_BLOCK = 1 << 20
-COUNTED = 300_000  # words that one task of the first pass adds up before it hands them on
+PACKED = 256  # bytes from which a text is compressed by itself; Spark compresses shorter ones together
 HEAPS = 0.8
 CONTEXT_BITS, WORD_BITS = 40, 32
 EDGES = np.array([0x9E6C63D0876A9A47, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7], np.uint64)  # in place of words: start, end, behind the end
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 ASKED = "block int, part int, keys binary, uses binary, contexts binary, sizes binary, words binary, n binary"
-TOLD = "block int, part int, counts binary, pairs binary, weights binary, shares binary"
+TOLD = "block int, part int, counts binary, pairs binary, weights binary, shares binary, uses long, kinds long, n1 long, n2 long, n3 long, n4 long"
+BLOCKS = "block int, doc_id long, held_out boolean, train boolean, size int, text binary"  # size: of a compressed text, else 0
 
 
 def _words(raw: bytes | None) -> list[bytes]:
@@ -74,7 +76,7 @@ class Block:
         self.lengths: list[int] = []
         self.runs: list[np.ndarray] = []
 
-    def add(self, raws: list[bytes | None]) -> None:
+    def add(self, raws: Iterable[bytes]) -> None:
         for raw in raws:
             words = _words(raw)
             self.lengths.append(len(words))
@@ -154,57 +156,41 @@ def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n[order], first) if len(first) else n
 
 
-def word_sums(docs: DataFrame, n_parts: int) -> tuple[int, int, list[int]]:
-    """(uses of all words, distinct words, how many were used 1, 2, 3 and 4 times) of docs(text)."""
-    counted = "part int, keys binary, n binary"
+def packed(texts: DataFrame) -> DataFrame:
+    """BLOCKS of texts(block, doc_id, held_out, train, text): long texts are compressed, so that their shuffle writes less."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: Counter = Counter()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 512):
+            sizes, held = [], []
+            for raw in as_bytes(batch.column(4)):
+                less = pa.compress(raw, codec="zstd", asbytes=True) if len(raw) >= PACKED else raw
+                sizes.append(len(raw) if len(less) < len(raw) else 0)
+                held.append(less if sizes[-1] else raw)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sizes, pa.int32()), pa.array(held, pa.binary())], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
-        def held() -> Iterator[pa.RecordBatch]:
-            keys, n = _added(np.fromiter(map(xxhash.xxh3_64_intdigest, sums), np.uint64, len(sums)), np.fromiter(sums.values(), np.int64, len(sums)))
-            cuts = _bounds(_part(keys, n_parts), n_parts)
-            for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-                if a < b:
-                    yield _blobs([(part, _rising(keys[a:b], 8), _squeeze(n[a:b], 5))], counted)
-            sums.clear()
+    return texts.mapInArrow(run, BLOCKS)
 
-        for batch in slices(batches, 512):
-            for raw in as_bytes(batch.column(0)):
-                sums.update(_words(raw))
-                if len(sums) >= COUNTED:
-                    yield from held()
-        yield from held()
-
-    totals = "uses long, kinds long, n1 long, n2 long, n3 long, n4 long"
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for batch in batches:
-            for part, keys, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                held.setdefault(part, []).append((_risen(keys, 8), _expand(n, 5).astype(np.int64)))
-                if len(held[part]) >= 16:
-                    held[part] = [_added(*(np.concatenate(x) for x in zip(*held[part])))]
-        for part in list(held):
-            _, n = _added(*(np.concatenate(x) for x in zip(*held.pop(part))))
-            yield _blobs([(int(n.sum()), len(n), *(int((n == k).sum()) for k in (1, 2, 3, 4)))], totals)
-
-    parts = docs.select("text").mapInArrow(count, counted).repartitionById(n_parts, F.col("part")).mapInArrow(add, totals)
-    uses, kinds, *seen = parts.agg(*(F.coalesce(F.sum(x.split()[0]), F.lit(0)) for x in totals.split(", "))).first()
-    return uses, kinds, seen
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[bytes]:
+    """The texts one by one, as a small batch may hold much more text."""
+    for n, raw in zip(batch.column("size").to_pylist(), as_bytes(batch.column("text"))):
+        yield pa.decompress(raw, n, codec="zstd", asbytes=True) if n else raw
 
 
 def questions(blocks: DataFrame, n_parts: int) -> DataFrame:
-    """ASKED: each block's distinct words and trigrams, with their uses in the block's training texts, for each part."""
+    """ASKED: each block's distinct words and trigrams, with their uses in the block's training texts, for each part.
+
+    There is a row for every part, if an empty one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[Block, list[np.ndarray]]] = {}
         for batch in slices(batches, 512):
-            owner, train, raws = batch.column(0).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False), as_bytes(batch.column(4))
+            owner, train = batch.column(0).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
             for i in np.unique(owner).tolist():
                 rows = np.flatnonzero(owner == i)
                 block, used = held.setdefault(i, (Block(), []))
-                block.add([raws[k] for k in rows])
+                block.add(_unpacked(batch.take(pa.array(rows))))
                 used.append(train[rows])
         for i in list(held):
             block, used = held.pop(i)
@@ -221,16 +207,12 @@ def questions(blocks: DataFrame, n_parts: int) -> DataFrame:
             of_words, of_ngrams = _bounds(_part(block.keys, n_parts), n_parts), _bounds(context >> np.uint64(CONTEXT_BITS), n_parts)
             for part in range(n_parts):
                 a, b, c, d = *of_words[part : part + 2], *of_ngrams[part : part + 2]
-                if a < b or c < d:
-                    start = np.flatnonzero(fresh(context[c:d]))
-                    inner = context[c:d][start] & np.uint64((1 << CONTEXT_BITS) - 1)
-                    row = (i, part, _rising(block.keys[a:b], 8), _squeeze(uses[a:b], 5), _rising(inner, 5), _squeeze(np.diff(np.append(start, d - c)), 4), _squeeze(word[c:d], 4), _squeeze(n[c:d], 4))
-                    yield _blobs([row], ASKED)
-
-    return blocks.select(*BLOCK_COLUMNS).mapInArrow(run, ASKED)
-
+                start = np.flatnonzero(fresh(context[c:d]))
+                inner = context[c:d][start] & np.uint64((1 << CONTEXT_BITS) - 1)
+                row = (i, part, _rising(block.keys[a:b], 8), _squeeze(uses[a:b], 5), _rising(inner, 5), _squeeze(np.diff(np.append(start, d - c)), 4), _squeeze(word[c:d], 4), _squeeze(n[c:d], 4))
+                yield _blobs([row], ASKED)
 
-BLOCK_COLUMNS = ("block", "doc_id", "held_out", "train", "text")  # all of them everywhere, so that one shuffle of texts serves both uses
+    return blocks.mapInArrow(run, ASKED)  # with all columns, so that one shuffle of texts serves both uses
 
 
 def answers(asked: DataFrame) -> DataFrame:
@@ -244,6 +226,7 @@ def answers(asked: DataFrame) -> DataFrame:
         for part in list(parts):
             rows = parts.pop(part)
             known, total = _added(*(np.concatenate(x) for x in zip(*((_risen(r[2], 8), _expand(r[3], 5).astype(np.int64)) for r in rows))))
+            sums = int(total.sum()), int((total > 0).sum()), *(int((total == k).sum()) for k in (1, 2, 3, 4))
             entries = []
             for *_, contexts, sizes, words, n in rows:
                 n = _expand(n, 4).astype(np.int64)
@@ -256,7 +239,7 @@ def answers(asked: DataFrame) -> DataFrame:
             for block, _, keys, _, contexts, sizes, words, _ in rows:
                 counts = total[np.searchsorted(known, _risen(keys, 8))] if len(known) else np.zeros(0, np.int64)
                 found = trie.find(_risen(contexts, 5), _expand(sizes, 4).astype(np.int64), _expand(words, 4).astype(np.uint32))
-                yield _blobs([(block, part, _squeeze(counts, 5), *(_squeeze(x, 2) for x in found))], TOLD)
+                yield _blobs([(block, part, _squeeze(counts, 5), *(_squeeze(x, 2) for x in found), *sums)], TOLD)
 
     return asked.mapInArrow(run, TOLD)
 
@@ -270,22 +253,22 @@ def score(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
     size, ends = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("train")).first()
     # as many blocks as there are shuffle partitions if these are smaller then, each in a task of its own
     n_blocks = max(1, -(-size // block_bytes), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // LEAST_BLOCK)))
-    words, types, seen = word_sums(docs.where("train"), n_blocks)
-    tokens = words + ends
-    vocabulary = types + (ends > 0)
-    discount = discounts(seen)
-    freed = sum(d * n for d, n in zip(discount, (*seen[:2], types - sum(seen[:2]))))
-    whole = words + (ends or 1) + (0 if freed else 1)
-    unseen, end = (freed or 1) / whole, (ends or 1) / whole
-    base_of = lambda c: np.log10((c + 0.1) / (tokens + 0.1 * (vocabulary + 1)))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         names, kinds = zip(*(x.split() for x in SCHEMA.split(", ")))
         kinds = [{"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[k] for k in kinds]
         block = Block()
         for batch in left.to_batches(max_chunksize=512):
-            block.add(as_bytes(batch.column("text")))
+            block.add(_unpacked(batch))
         block.close()
+        words, types, *seen = (sum(right.column(x.split()[0]).to_pylist()) for x in TOLD.split(", ")[-6:])
+        tokens = words + ends
+        vocabulary = types + (ends > 0)
+        discount = discounts(seen)
+        freed = sum(d * n for d, n in zip(discount, (*seen[:2], types - sum(seen[:2]))))
+        whole = words + (ends or 1) + (0 if freed else 1)
+        unseen, end = (freed or 1) / whole, (ends or 1) / whole
+        base_of = lambda c: np.log10((c + 0.1) / (tokens + 0.1 * (vocabulary + 1)))
         right = right.sort_by("part")
         told = lambda name, width: np.concatenate([_expand(raw, width) for raw in right.column(name).to_pylist()] or [np.zeros(0, np.uint64)])
         c = told("counts", 5).astype(float)
@@ -330,6 +313,6 @@ def score(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
         return pa.table([x.cast(k) if isinstance(x, pa.ChunkedArray) else pa.array(x.astype(k.to_pandas_dtype()), k) for x, k in zip(columns, kinds)], names=list(names))
 
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block")
-    blocks = docs.select(block, "doc_id", "held_out", "train", "text").repartitionById(n_blocks, F.col("block"))
+    blocks = packed(docs.select(block, "doc_id", "held_out", "train", "text")).repartitionById(n_blocks, F.col("block"))
     told = answers(questions(blocks, n_blocks).repartitionById(n_blocks, F.col("part"))).repartitionById(n_blocks, F.col("block"))
     return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, SCHEMA)

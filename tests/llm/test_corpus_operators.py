@@ -414,6 +414,29 @@ def test_lm_knows_all_word_trigrams(spark):
         assert r.score == pytest.approx(sum(math.log10(chance(*x)) for x in zip(s, s[1:], s[2:])), abs=ngram_trie.STEP * len(s))
 
 
+def test_lm_shuffles_little(spark, sf_dir):
+    """Words are not counted in a shuffle of their own, and texts are shuffled once and compressed."""
+    docs = table(spark, sf_dir, "documents")
+    sc = spark.sparkContext
+    sc.setJobGroup("lm", "lm")
+    lm_score.score(docs, block_bytes=200_000).collect()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    stages = {i for job in sc.statusTracker().getJobIdsForGroup("lm") for i in sc.statusTracker().getJobInfo(job).stageIds}
+    written = sum(sc._jsc.sc().statusStore().lastStageAttempt(i).shuffleWriteBytes() for i in stages)
+    size = sum(len((r.text or "").encode()) for r in docs.collect())
+    assert written < 2.6 * size
+
+
+def test_lm_blocks_ask_all_parts(spark):
+    """Blocks with fewer words than there are parts know the sums of all words; texts on both sides of the compressed length."""
+    rng = random.Random(17)
+    docs = [(i, "".join(rng.choice("ab\u00e9\u4e2d \n") for _ in range(n))) for i, n in enumerate([0, 1, 3, 100, 127, 128, 129, 255, 256, 257, 3000])]
+    docs += [(50, "a " * 128), (51, rng.randbytes(400).decode("latin-1")), (None, "a b")]
+    whole, blocks = (sorted(map(tuple, lm_score.score(frame(spark, docs), block_bytes=n).collect()), key=str) for n in (1 << 20, 200))
+    for a, b in zip(whole, blocks, strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
+
+
 def test_trie():
     rng = np.random.default_rng(11)
     v = np.sort(rng.integers(0, 10**6, 3000))
