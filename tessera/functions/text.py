@@ -73,6 +73,12 @@ def message_parts(s: Column, marker: str = IMAGE + "\n", kind: str = "image") ->
     return F.flatten(F.transform(pieces, part))
 
 
+def placed_texts(s: Column, marker: str = IMAGE + "\n") -> Column:
+    """The text parts of message_parts as an array of (place, text): place counts the markers before the part."""
+    pieces = F.transform(F.split(s, rf"\Q{marker}\E", -1), lambda p, i: F.struct(i.alias("place"), p.alias("text")))
+    return F.filter(pieces, lambda x: x["text"] != "")
+
+
 def render(content: Column, template: str = "{{ content }}") -> Column:
     """The template with its content variable (also with a trim filter) replaced."""
     said = template.replace("{{ content | trim }}", "\0").replace("{{ content }}", "\1").replace("{{content}}", "\1")
