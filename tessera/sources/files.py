@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOG_SCHEMA = (
-    "step long, timestamp string, num_samples long, samples array<struct<index:long,question:string,ground_truth:string,response:string,"
+    "step long, timestamp string, num_samples long, part long, samples array<struct<index:long,question:string,ground_truth:string,response:string,"
     "`group`:string,original_idx:long,datasource:string,rewards:map<string,double>>>, _corrupt_record string"
 )
 IMAGE_TYPES = ("jpg", "jpeg", "png", "bmp", "gif", "webp", "tiff")
@@ -32,16 +32,20 @@ def dataset(spark: SparkSession, path: str, kind: str | None = None) -> DataFram
 
 
 def step_logs(spark: SparkSession, folder: str, options: dict | None = None) -> DataFrame:
-    """The samples of all step logs of a folder, by step and place in the log; unreadable files are left out."""
+    """The samples of all step logs of a folder, by step, part (0 where a step has one document) and place in it; unreadable files are left out."""
     logs = spark.read.schema(LOG_SCHEMA).options(**{"multiLine": True, "mode": "PERMISSIVE"} | (options or {})).json(f"{folder}/*step_*.json")
     good = logs.where(F.col("_corrupt_record").isNull() & F.col("samples").isNotNull())
-    return good.select("step", "timestamp", F.posexplode("samples").alias("place", "s")).select("step", "timestamp", "place", "s.*")
+    return _samples(good)
 
 
 def step_log_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The same as a stream: logs as they come."""
     logs = spark.readStream.schema(LOG_SCHEMA).option("multiLine", True).json(f"{folder}/*step_*.json")
-    return logs.where(F.col("samples").isNotNull()).select("step", "timestamp", F.posexplode("samples").alias("place", "s")).select("step", "timestamp", "place", "s.*")
+    return _samples(logs.where(F.col("samples").isNotNull()))
+
+
+def _samples(logs: DataFrame) -> DataFrame:
+    return logs.select("step", "timestamp", F.coalesce("part", F.lit(0)).alias("part"), F.posexplode("samples").alias("place", "s")).select("step", "timestamp", "part", "place", "s.*")
 
 
 def original_dataset(df: DataFrame, order: str, allowed: tuple[str, ...] = ()) -> DataFrame:

@@ -5,24 +5,63 @@ from __future__ import annotations
 import json
 import os
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import metrics
 
+# Bytes of JSON samples that one step log document holds.
+DOCUMENT_BYTES = 32_000_000
 
-def step_documents(scored: DataFrame) -> DataFrame:
-    """(name, document): one JSON document for each step, its samples in order, internal rewards left out."""
-    sample = F.struct("index", "question", "ground_truth", "response", "group", "original_idx", "datasource", metrics.drop_internal(F.col("rewards")).alias("rewards"))
-    steps = scored.groupBy("step").agg(F.transform(F.array_sort(F.collect_list(F.struct("index", sample.alias("s"))), lambda a, b: F.signum(a["index"] - b["index"]).cast("int")), lambda x: x["s"]).alias("samples"))
-    body = F.struct("step", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.size("samples").cast("long").alias("num_samples"), "samples")
-    return steps.select(text.step_name(F.col("step")).alias("name"), F.to_json(body).alias("document"))
 
+def step_documents(scored: DataFrame, most: int = DOCUMENT_BYTES) -> DataFrame:
+    """(name, document): one JSON document for each step, its samples in order, internal rewards left out.
 
-def write_step_logs(scored: DataFrame, folder: str) -> None:
-    """One document for each step below folder, by Spark's own writer (any store): name=step_000001.json/part-..."""
-    step_documents(scored).repartition("name").write.partitionBy("name").text(folder)
+    A step whose samples take more than most bytes of JSON is cut into runs of its samples, each a document of its own
+    (step_000001.{part}.json; at most one sample longer than most), so no task holds a whole step. Their names
+    and their field part increase with the samples, though not one by one. scored is read several times.
+    """
+    sample = F.struct("index", "question", "ground_truth", "response", "group", "original_idx", "datasource", metrics.drop_internal(F.col("rewards")).alias("rewards"))
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
+    sizes = scored.groupBy("step").agg(F.sum(F.octet_length(F.to_json(sample)).cast("long") + 1).alias("size"))
+    large = {r.step: r["size"] for r in sizes.where(F.col("size") > most).collect() if r.step is not None}  # one row for most bytes
+    cut = F.coalesce(F.col("step").isin(*large), F.lit(False)) if large else F.lit(False)
+    steps = scored.where(~cut).groupBy("step").agg(F.transform(F.array_sort(F.collect_list(F.struct("index", sample.alias("s"))), lambda a, b: F.signum(a["index"] - b["index"]).cast("int")), lambda x: x["s"]).alias("samples"))
+    body = F.struct("step", now.alias("timestamp"), F.size("samples").cast("long").alias("num_samples"), "samples")
+    whole = steps.select(text.step_name(F.col("step")).alias("name"), F.to_json(body).alias("document"))
+    if not large:
+        return whole
+    dealt = ("step", "index", F.xxhash64("question", "response", "original_idx"))  # an index that comes often is dealt too
+    rows = scored.where(cut).repartitionByRange(-(-2 * sum(large.values()) // most), *dealt).sortWithinPartitions("step", "index")
+    runs = _runs(rows.select(F.col("step").cast("long").alias("step"), F.to_json(sample).alias("sample")), most)
+    runs = runs.withColumn("part", F.monotonically_increasing_id())  # by range and place in it
+    parts = (F.lit('{"step":'), F.col("step"), F.lit(',"timestamp":"'), now, F.lit('","num_samples":'), F.col("n"), F.lit(',"part":'), F.col("part"), F.lit(',"samples":['), F.col("samples"), F.lit("]}"))
+    return whole.unionByName(runs.select(F.format_string("step_%06d.%018d.json", "step", "part").alias("name"), F.concat(*(p.cast("string") for p in parts)).alias("document")))
+
+
+def _runs(rows: DataFrame, most: int) -> DataFrame:
+    """Sorted (step, sample) as (step, n, samples): runs of one step, joined by commas, of at most a sample more than most bytes."""
+    def run(batches):
+        step, held, size = None, [], 0
+        joined = lambda: pa.RecordBatch.from_arrays([pa.array([step], pa.int64()), pa.array([len(held)], pa.int64()), pa.array([b",".join(held)], pa.binary()).cast(pa.string())], ["step", "n", "samples"])
+        for batch in batches:
+            for s, sample in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                if held and (s != step or size >= most):
+                    yield joined()
+                    held, size = [], 0
+                step, size = s, size + len(sample) + 1
+                held.append(sample)
+        if held:
+            yield joined()
+
+    return rows.mapInArrow(run, "step long, n long, samples string")
+
+
+def write_step_logs(scored: DataFrame, folder: str, most: int = DOCUMENT_BYTES) -> None:
+    """The documents of all steps below folder, by Spark's own writer (any store): name=step_000001.json/part-..."""
+    step_documents(scored, most).write.partitionBy("name").text(folder)  # a name is one row, so one file
 
 
 def write_documents(documents: DataFrame, folder: str) -> None:
